@@ -22,11 +22,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def _as_longs(df: DataFrame) -> DataFrame:
+    """Integral columns leave as BIGINT so both engines agree on types."""
+    small = ("int", "smallint", "tinyint")
+    return df.select(*[F.col(n).cast("bigint").alias(n) if t in small else F.col(n) for n, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register ``fn`` under ``name`` with its oracle; ``ints`` lists the
+    oracle's integer columns, cast to BIGINT like the Spark side."""
     def wrap(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            return _as_longs(fn(spark, sf_dir))
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = FIXTURE_SQL + sql
+            body = FIXTURE_SQL + sql
+            if ints:
+                casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ints)
+                body = f"SELECT * REPLACE ({casts}) FROM ({body}) AS q"
+            ORACLE[name] = body
         return fn
     return wrap
 
@@ -162,9 +178,185 @@ def exact_redirect_resolution(spark, sf_dir):
 )
 SELECT request_id, variant_rank, lang_rank, variant, language_code, stage, page_id, to_title
 FROM fx_all WHERE rn = 1
-""")
+""", ints=("variant_rank", "lang_rank", "stage"))
 def first_match_cascade(spark, sf_dir):
     docs, k = _requests_k(spark, sf_dir, all_langs=True)
     out = lookup.first_exact_match(k, docs, fx.fx_pages(docs), fx.fx_redirections(docs))
     return out.select("request_id", "variant_rank", "lang_rank", "variant", "language_code", "stage",
                       "page_id", "to_title")
+
+
+# --- X1-X6 on the conversation articles -----------------------------------------
+
+def _anc_sql(lim: str) -> str:
+    """Ancestors as text: of the last heading seen per level (lh1..lh6),
+    levels up to ``lim`` whose heading is newer than every heading of a
+    shallower level (an older one would have been closed by it)."""
+    parts = []
+    for k in range(1, 7):
+        shallower = ", ".join(f"lh{j}" for j in range(1, k)) or "NULL"
+        parts.append(f"CASE WHEN {k} <= {lim} AND lh{k} IS NOT NULL AND lh{k} > coalesce(greatest({shallower}, NULL), -1) "
+                     f"THEN CAST(lh{k} AS VARCHAR) END")
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+_LH = ",\n         ".join(f"max(CASE WHEN h_level = {k} THEN heading_no END) OVER w AS lh{k}" for k in range(1, 7))
+
+BLOCKS_SQL = r"""
+, fx_lines AS (
+  SELECT page_id, language_code, unnest(string_split(text_body, chr(10))) AS line,
+         unnest(range(len(string_split(text_body, chr(10))))) AS line_no
+  FROM fx_articles
+), fx_cls AS (
+  SELECT *, regexp_matches(line, '^#{1,6}\s+.+$') AS is_h FROM fx_lines
+  WHERE regexp_matches(line, '^#{1,6}\s+.+$') OR regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''
+), fx_b0 AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line_no) - 1 AS block_no,
+         CASE WHEN is_h THEN length(regexp_extract(line, '^(#{1,6})', 1)) END AS h_level,
+         sum(CASE WHEN is_h THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no
+                                                     ROWS UNBOUNDED PRECEDING) AS heading_no
+  FROM fx_cls
+), fx_b1 AS (
+  SELECT *, """ + _LH + r"""
+  FROM fx_b0 WINDOW w AS (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)
+), fx_heads AS (
+  SELECT page_id, heading_no, h_level,
+         h_level = 2 AND heading_no = min(CASE WHEN h_level = 2 THEN heading_no END) OVER (PARTITION BY page_id) AS special
+  FROM fx_b1 WHERE is_h
+), fx_blocks AS (
+  SELECT b.language_code, b.page_id, b.block_no, b.line_no AS line_start,
+         CASE WHEN b.is_h THEN 'heading' ELSE 'para' END AS kind,
+         coalesce(h.h_level, 0) AS level,
+         CASE WHEN b.is_h THEN regexp_replace(regexp_extract(b.line, '^#{1,6}\s+(.+)$', 1), '^\s+|\s+$', '', 'g') END AS title,
+         b.line AS content,
+         coalesce(h.special, false) AS is_special,
+         b.heading_no,
+         CASE WHEN b.is_h THEN NULL
+              ELSE row_number() OVER (PARTITION BY b.page_id, b.heading_no, b.is_h ORDER BY b.line_no) - 1 END AS idx_in_heading,
+         CASE WHEN b.is_h THEN """ + _anc_sql("b.h_level - 1") + " ELSE " + _anc_sql("6") + r""" END AS ancestors_csv
+  FROM fx_b1 b LEFT JOIN fx_heads h ON h.page_id = b.page_id AND h.heading_no = b.heading_no
+)
+"""
+
+_BLOCK_INTS = ("page_id", "block_no", "line_start", "level", "heading_no", "idx_in_heading")
+
+
+def _article_blocks_df(spark, sf_dir):
+    from quire.operators import articles
+    return articles.article_blocks(fx.fx_articles(spark, sf_dir))
+
+
+def _with_csv(b):
+    return b.withColumn("ancestors_csv", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",")).drop("ancestors")
+
+
+@query("article_blocks", BLOCKS_SQL + "SELECT * FROM fx_blocks", ints=_BLOCK_INTS)
+def article_blocks_q(spark, sf_dir):
+    return _with_csv(_article_blocks_df(spark, sf_dir))
+
+
+PRIORITY_SQL = BLOCKS_SQL + r"""
+, fx_prio AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY level, is_special DESC, idx_in_heading, heading_no) AS priority
+  FROM fx_blocks WHERE kind = 'para'
+)
+"""
+
+
+@query("block_priorities", PRIORITY_SQL + """
+SELECT language_code, page_id, block_no, line_start, level, is_special, heading_no, idx_in_heading, priority
+FROM fx_prio""", ints=_BLOCK_INTS + ("priority",))
+def block_priorities_q(spark, sf_dir):
+    from quire.operators import articles
+    b = articles.block_priorities(_article_blocks_df(spark, sf_dir))
+    return b.select("language_code", "page_id", "block_no", "line_start", "level", "is_special",
+                    "heading_no", "idx_in_heading", "priority")
+
+
+def _extract_sql(length: str, limit: int, tool: str) -> str:
+    larger = "medium" if length == "short" else "full"
+    words = "len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> ''))"
+    return PRIORITY_SQL + rf"""
+, fx_pu AS (
+  SELECT *, {words.format(c='content')} AS units FROM fx_prio
+), fx_hu AS (
+  SELECT page_id, heading_no, level, title, line_start, content, {words.format(c='content')} AS h_units
+  FROM fx_blocks WHERE kind = 'heading'
+), fx_pairs AS (
+  SELECT p.page_id, p.priority, CAST(unnest(string_split(p.ancestors_csv, ',')) AS BIGINT) AS h
+  FROM fx_pu p WHERE p.ancestors_csv <> ''
+), fx_first AS (
+  SELECT page_id, h, min(priority) AS first_priority FROM fx_pairs GROUP BY page_id, h
+), fx_charge AS (
+  SELECT f.page_id, f.first_priority AS priority, sum(u.h_units) AS charge
+  FROM fx_first f JOIN fx_hu u ON u.page_id = f.page_id AND u.heading_no = f.h
+  GROUP BY f.page_id, f.first_priority
+), fx_cost AS (
+  SELECT p.*, p.units + coalesce(c.charge, 0) AS cost
+  FROM fx_pu p LEFT JOIN fx_charge c ON c.page_id = p.page_id AND c.priority = p.priority
+), fx_run AS (
+  SELECT *, sum(cost) OVER (PARTITION BY page_id ORDER BY priority ROWS UNBOUNDED PRECEDING) AS running FROM fx_cost
+), fx_kept AS (
+  SELECT * FROM fx_run WHERE running <= {limit} OR priority = 1
+), fx_last AS (
+  SELECT page_id, max(priority) AS last_priority, count(*) AS n_kept FROM fx_kept GROUP BY page_id
+), fx_npara AS (
+  SELECT page_id, count(*) AS n_paras FROM fx_prio GROUP BY page_id
+), fx_hreq AS (
+  SELECT u.*, coalesce(f.first_priority <= l.last_priority, false) AS required
+  FROM fx_hu u LEFT JOIN fx_first f ON f.page_id = u.page_id AND f.h = u.heading_no
+  LEFT JOIN fx_last l ON l.page_id = u.page_id
+), fx_parts AS (
+  SELECT page_id, line_start, content FROM fx_kept
+  UNION ALL SELECT page_id, line_start, content FROM fx_hreq WHERE required
+), fx_body AS (
+  SELECT page_id, string_agg(content, chr(10) || chr(10) ORDER BY line_start) AS body FROM fx_parts GROUP BY page_id
+), fx_omit AS (
+  SELECT page_id, string_agg(repeat('  ', CAST(level AS INT) - 2) || '- ' || title, chr(10) ORDER BY heading_no) AS omitted
+  FROM fx_hreq WHERE NOT required AND level >= 2 GROUP BY page_id
+), fx_out AS (
+  SELECT a.page_id, a.language_code, coalesce(b.body, '') AS body, o.omitted,
+         coalesce(l.n_kept, 0) < coalesce(n.n_paras, 0) AS cut_short
+  FROM fx_articles a LEFT JOIN fx_body b ON b.page_id = a.page_id LEFT JOIN fx_omit o ON o.page_id = a.page_id
+  LEFT JOIN fx_last l ON l.page_id = a.page_id LEFT JOIN fx_npara n ON n.page_id = a.page_id
+)
+"""
+
+
+def _article_query(length: str):
+    from quire.functions.fixed import DEFAULT_TOOL_NAME, LENGTH_LIMITS
+    limit = LENGTH_LIMITS[length][0]
+    sql = _extract_sql(length, limit, DEFAULT_TOOL_NAME)
+    if length == "very-short":
+        final = r"""SELECT page_id, language_code, '{L}' AS length,
+  regexp_replace(body, '(?m)^#{{1,6}}(?:\s+(\S.*?)\s*|\s\s+)$', '\1', 'g') AS article_text FROM fx_out""".format(L=length)
+    else:
+        larger = "medium" if length == "short" else "full"
+        final = rf"""SELECT page_id, language_code, '{length}' AS length,
+  body || CASE WHEN omitted IS NOT NULL THEN chr(10) || chr(10) || '## Omitted Headings' || chr(10) || omitted ELSE '' END
+       || CASE WHEN cut_short THEN chr(10) || chr(10) || 'If you want to read more, please use the `{DEFAULT_TOOL_NAME}` tool with `length=''{larger}''` to get a more detailed article.' || chr(10) ELSE '' END
+  AS article_text FROM fx_out"""
+
+    def fn(spark, sf_dir):
+        from quire.operators import articles
+        a = fx.fx_articles(spark, sf_dir)
+        targets = a.select("language_code", "page_id", F.lit(length).alias("length"))
+        out = articles.extract(articles.article_blocks(a), targets)
+        return out.select("page_id", "language_code", "length", "article_text")
+    fn.__name__ = "article_" + length.replace("-", "_")
+    query("article_" + length.replace("-", "_"), sql + final, ints=("page_id",))(fn)
+
+
+for _len in ("very-short", "short", "medium"):
+    _article_query(_len)
+
+
+@query("omitted_headings", _extract_sql("short", 150, "") + """
+SELECT page_id, omitted FROM fx_omit""", ints=("page_id",))
+def omitted_headings_q(spark, sf_dir):
+    """X6 alone: the omitted-heading list of the short cut."""
+    from quire.operators import articles
+    a = fx.fx_articles(spark, sf_dir)
+    out = articles.omitted_headings(articles.article_blocks(a),
+                                    a.select("language_code", "page_id", F.lit("short").alias("length")))
+    return out.select("page_id", "omitted")
