@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -360,3 +360,214 @@ def omitted_headings_q(spark, sf_dir):
     out = articles.omitted_headings(articles.article_blocks(a),
                                     a.select("language_code", "page_id", F.lit("short").alias("length")))
     return out.select("page_id", "omitted")
+
+
+# --- V1, E5-E6 -------------------------------------------------------------------
+
+@query("query_variants")
+def query_variants_q(spark, sf_dir):
+    """V1 over every fixture request (rows-only; goldens in tests)."""
+    from quire.functions.variants import query_variants
+    req = fx.fx_requests(fx.fx_documents(spark, sf_dir))
+    v = req.select("request_id", query_variants("title", F.lit(False)).alias("v"))
+    return v.select("request_id", F.posexplode("v").alias("variant_rank", "variant"))
+
+
+_LANG_ARGS = ("language_code", "upper(language_code) || ',en'", "' ' || language_code || '  de '", "''",
+              "language_code || ',xx'")
+
+
+def _lang_args_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_LANG_ARGS[:-1]))
+    return f"CASE k {cases} ELSE {_LANG_ARGS[-1]} END"
+
+
+@query("language_arguments", r"""
+, fx_la AS (
+  SELECT page_id * 10 + k AS request_id, """ + _lang_args_sql() + r""" AS languages
+  FROM (SELECT page_id, language_code, unnest([0, 1, 2, 3, 4]) AS k FROM fx_documents)
+), fx_ln AS (
+  SELECT request_id, languages, regexp_replace(languages, '^\s+|\s+$', '', 'g') AS s FROM fx_la
+), fx_ln2 AS (
+  SELECT request_id, languages,
+         CASE WHEN s = '' THEN NULL
+              WHEN contains(s, ',') THEN list_filter(list_transform(string_split(s, ','),
+                     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')
+              WHEN contains(s, ' ') THEN list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')
+              ELSE [s] END AS given
+  FROM fx_ln
+), fx_ln3 AS (
+  SELECT request_id, languages,
+         CASE WHEN given IS NULL OR len(given) = 0 THEN """ + LANGS_SQL + r"""
+              ELSE list_transform(given, lambda x: lower(x)) END AS search
+  FROM fx_ln2
+), fx_ln4 AS (
+  SELECT *, list_filter(search, lambda x: NOT list_contains(""" + LANGS_SQL + r""", x))[1] AS bad FROM fx_ln3
+)
+SELECT request_id, languages, array_to_string(search, ',') AS search_langs,
+       CASE WHEN bad IS NOT NULL THEN 'Error: Language ''' || bad || ''' is not available. Available languages: [en, fr, de, es]' END AS error
+FROM fx_ln4
+""")
+def language_arguments_q(spark, sf_dir):
+    from quire.functions.languages import resolve_languages
+    d = fx.fx_documents(spark, sf_dir)
+    k = d.select("page_id", "language_code", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("k"))
+    arg = F.expr(_lang_args_sql())
+    req = k.select((F.col("page_id") * 10 + F.col("k")).alias("request_id"), arg.alias("languages"))
+    out = resolve_languages(req, fx.LANGUAGES)
+    return out.select("request_id", "languages", F.array_join("search_langs", ",").alias("search_langs"), "error")
+
+
+# --- T1-T4, J5, C3-C5 ------------------------------------------------------------------
+
+_TOK = r"list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'))"
+
+
+@query("postings_build", r"""
+SELECT language_code, 'title' AS field, unnest(""" + _TOK.format(c="title") + r""") AS term, page_id FROM fx_documents
+UNION ALL
+SELECT language_code, 'body', unnest(""" + _TOK.format(c="text_body") + r"""), page_id FROM fx_documents
+""")
+def postings_build_q(spark, sf_dir):
+    from quire.operators import textsearch
+    d = fx.fx_documents(spark, sf_dir)
+    return textsearch.build_postings(textsearch.document_terms(d))
+
+
+@query("term_document_frequency", r"""
+, fx_post AS (
+  SELECT language_code, 'title' AS field, unnest(""" + _TOK.format(c="title") + r""") AS term, page_id FROM fx_documents
+  UNION ALL
+  SELECT language_code, 'body', unnest(""" + _TOK.format(c="text_body") + r"""), page_id FROM fx_documents
+)
+SELECT language_code, field, term, count(*) AS df FROM fx_post GROUP BY ALL
+""")
+def term_document_frequency_q(spark, sf_dir):
+    from quire.operators import textsearch
+    d = fx.fx_documents(spark, sf_dir)
+    return textsearch.term_document_frequency(textsearch.build_postings(textsearch.document_terms(d)))
+
+
+def _single_k(spark, sf_dir):
+    """Each fixture request as one key row: its title in its language."""
+    c = fx.corpus(spark, sf_dir)
+    req = fx.fx_requests(c.documents)
+    k = req.select("request_id", F.lit(0).alias("variant_rank"), F.lit(0).alias("lang_rank"),
+                   F.col("title").alias("variant"), "language_code")
+    return c, k
+
+
+def _top(df, order, n=20):
+    w = Window.partitionBy("request_id").orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+_TERMS_SQL = r"""
+, fx_rq AS (
+  SELECT request_id, language_code, title AS variant, """ + _TOK.format(c="title") + r""" AS qt FROM fx_requests
+), fx_dt AS (
+  SELECT page_id, language_code, title, text_body, """ + _TOK.format(c="title") + r""" AS tt,
+         """ + _TOK.format(c="text_body") + r""" AS bt
+  FROM fx_documents
+), fx_tm AS (
+  SELECT r.request_id, d.page_id, d.title, row_number() OVER (PARTITION BY r.request_id ORDER BY d.page_id) AS rn
+  FROM fx_rq r JOIN fx_dt d ON d.language_code = r.language_code
+  WHERE len(r.qt) > 0 AND list_has_all(d.tt, r.qt)
+), fx_bm AS (
+  SELECT r.request_id, r.variant, d.page_id, d.title, d.text_body, r.qt,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY d.page_id) AS rn
+  FROM fx_rq r JOIN fx_dt d ON d.language_code = r.language_code
+  WHERE len(r.qt) > 0 AND list_has_all(d.bt, r.qt) AND d.title <> r.variant
+), fx_rp AS (
+  SELECT p.language_code, p.page_id, p.page_title, x.to_title
+  FROM fx_pages p JOIN fx_redirections x ON x.from_page_id = p.page_id AND x.language_code = p.language_code
+), fx_rc AS (
+  SELECT r.request_id, p.page_id, replace(p.page_title, '_', ' ') AS from_title, p.to_title,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY p.page_id, p.to_title) AS rn
+  FROM fx_requests r JOIN fx_rp p ON p.language_code = r.language_code
+  WHERE p.page_title ILIKE '%' || (""" + _PAGE_KEY_SQL.format(c="r.title") + r""") || '%'
+     OR p.page_title = """ + _PAGE_KEY_SQL.format(c="r.title") + r"""
+)
+"""
+
+
+@query("title_terms_match", _TERMS_SQL + "SELECT request_id, page_id, title FROM fx_tm WHERE rn <= 20")
+def title_terms_match_q(spark, sf_dir):
+    from quire.operators import textsearch
+    c, k = _single_k(spark, sf_dir)
+    return _top(textsearch.title_matches(k, c), ["page_id"]).select("request_id", "page_id", "title")
+
+
+@query("body_terms_match", _TERMS_SQL + "SELECT request_id, page_id, title FROM fx_bm WHERE rn <= 20")
+def body_terms_match_q(spark, sf_dir):
+    from quire.operators import textsearch
+    c, k = _single_k(spark, sf_dir)
+    return _top(textsearch.body_matches(k, c), ["page_id"]).select("request_id", "page_id", "title")
+
+
+_SNIPPET_SQL = r"""
+, fx_sn0 AS (
+  SELECT request_id, page_id, text_body, qt,
+         list_min(list_filter(list_transform(qt, lambda k: strpos(lower(text_body), k)), lambda p: p > 0)) AS first,
+         array_to_string(list_transform(list_sort(list_transform(qt, lambda k: {'n': -length(k), 'k': k})),
+                                        lambda s: s.k), '|') AS alt
+  FROM fx_bm WHERE rn <= 20
+), fx_sn1 AS (
+  SELECT request_id, page_id, alt, len(qt) AS nk,
+         replace(replace(replace(replace(substring(text_body, greatest(coalesce(first, 1) - 40, 1), 200),
+                 '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS win
+  FROM fx_sn0
+), fx_sn2 AS (
+  SELECT request_id, page_id,
+         replace(replace(CASE WHEN nk > 0 THEN regexp_replace(win, '(?i)(' || alt || ')', '<span class="keyword">\1</span>', 'g')
+                              ELSE win END, '<span class="keyword">', '**'), '</span>', '**') AS s
+  FROM fx_sn1
+)
+SELECT request_id, page_id, CASE WHEN length(s) > 200 THEN substring(s, 1, 200) || '...' ELSE s END AS snippet
+FROM fx_sn2
+"""
+
+
+@query("body_snippet", _TERMS_SQL + _SNIPPET_SQL)
+def body_snippet_q(spark, sf_dir):
+    from quire.operators import textsearch
+    c, k = _single_k(spark, sf_dir)
+    hits = _top(textsearch.body_matches(k, c), ["page_id"])
+    bodies = c.documents.select(F.col("language_code").alias("_l"), F.col("page_id").alias("_p"), "text_body")
+    j = hits.join(bodies, (hits.language_code == bodies._l) & (hits.page_id == bodies._p))
+    return j.select("request_id", "page_id", textsearch.keyword_snippet("text_body", "variant").alias("snippet"))
+
+
+@query("redirect_contains", _TERMS_SQL + "SELECT request_id, page_id, from_title, to_title FROM fx_rc WHERE rn <= 20")
+def redirect_contains_q(spark, sf_dir):
+    from quire.operators import textsearch
+    c, k = _single_k(spark, sf_dir)
+    hits = textsearch.redirect_contains(k, c.pages, c.redirections, c.title_grams)
+    return _top(hits, ["page_id", "to_title"]).select("request_id", "page_id", "from_title", "to_title")
+
+
+@query("capped_hits", _TERMS_SQL + r"""
+, fx_all AS (
+  SELECT request_id, 0 AS phase, 3 AS stage, page_id, title, NULL AS from_title, NULL AS to_title FROM fx_tm
+  UNION ALL SELECT request_id, 0, 4, page_id, NULL, from_title, to_title FROM fx_rc
+  UNION ALL SELECT request_id, 1, 5, page_id, title, NULL, NULL FROM fx_bm
+), fx_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY phase, stage, page_id, to_title) AS rank FROM fx_all
+)
+SELECT request_id, rank, stage, page_id, title, from_title, to_title FROM fx_ranked WHERE rank <= 20
+""", ints=("stage",))
+def capped_hits_q(spark, sf_dir):
+    from quire.operators import cascade
+    c, k = _single_k(spark, sf_dir)
+    hits = cascade.partial_hits(k, c, 20)
+    return hits.select("request_id", "rank", "stage", "page_id", "title", "from_title", "to_title")
+
+
+@query("search_rendered")
+def search_rendered_q(spark, sf_dir):
+    """The whole cascade with variants over every fixture request,
+    rendered to response texts (rows-only; goldens in tests)."""
+    from quire.operators import cascade
+    c = fx.corpus(spark, sf_dir)
+    req = fx.fx_requests(c.documents).select("request_id", "title", "length", "languages")
+    return cascade.render(cascade.search(req, c))
