@@ -160,7 +160,8 @@ def _limit(length: Column, cjk: Column) -> Column:
 
 def _plain_headings(c: Column) -> Column:
     """Every line that is a Markdown heading becomes its stripped text."""
-    return F.regexp_replace(c, r"(?mdU)^#{1,6}(?:\s+(\S.*?)\s*|\s\s+)$", "$1")
+    ws = r"[^\S\n]"  # whitespace inside one line
+    return F.regexp_replace(c, rf"(?mdU)^#{{1,6}}(?:{ws}+(\S.*?){ws}*|{ws}{ws}+)$", "$1")
 
 
 DOC = ["language_code", "page_id", "length"]
@@ -195,7 +196,8 @@ def _selection(blocks: DataFrame, targets: DataFrame):
          .withColumn("heading_units", F.max("h_units").over(by_heading)))
     charged = (u.filter(F.col("priority").isNotNull())
                .groupBy(*doc, "priority")
-               .agg(F.sum(F.when(F.col("priority") == F.col("first_priority"), F.col("heading_units"))
+               .agg(F.sum(F.when((F.col("priority") == F.col("first_priority")) & F.col("h").isNotNull(),
+                                 F.coalesce(F.col("heading_units"), F.lit(0)))
                           .otherwise(0)).alias("charge")))
     first_of_heading = u.filter(F.col("h_units").isNotNull()).select(
         *doc, F.col("h").alias("heading_no"), "first_priority")

@@ -329,7 +329,7 @@ def _article_query(length: str):
     sql = _extract_sql(length, limit, DEFAULT_TOOL_NAME)
     if length == "very-short":
         final = r"""SELECT page_id, language_code, '{L}' AS length,
-  regexp_replace(body, '(?m)^#{{1,6}}(?:\s+(\S.*?)\s*|\s\s+)$', '\1', 'g') AS article_text FROM fx_out""".format(L=length)
+  regexp_replace(body, '(?m)^#{{1,6}}(?:[^\S\n]+(\S.*?)[^\S\n]*|[^\S\n][^\S\n]+)$', '\1', 'g') AS article_text FROM fx_out""".format(L=length)
     else:
         larger = "medium" if length == "short" else "full"
         final = rf"""SELECT page_id, language_code, '{length}' AS length,
@@ -568,6 +568,6 @@ def search_rendered_q(spark, sf_dir):
     """The whole cascade with variants over every fixture request,
     rendered to response texts (rows-only; goldens in tests)."""
     from quire.operators import cascade
-    c = fx.corpus(spark, sf_dir)
+    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
     req = fx.fx_requests(c.documents).select("request_id", "title", "length", "languages")
     return cascade.render(cascade.search(req, c))

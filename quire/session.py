@@ -55,3 +55,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts lineage (a lost executor recomputes from the files, not from
+    the sources) and keeps later plans small."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
