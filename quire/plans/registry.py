@@ -571,3 +571,119 @@ def search_rendered_q(spark, sf_dir):
     c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
     req = fx.fx_requests(c.documents).select("request_id", "title", "length", "languages")
     return cascade.render(cascade.search(req, c))
+
+
+# --- S1-S9, R1 ---------------------------------------------------------------------
+
+TALK_OFFSET = 2_000_000_000_000
+
+
+@query("dump_pages_scan", "SELECT page_id, page_namespace, page_title, language_code FROM fx_pages",
+       ints=("page_namespace",))
+def dump_pages_scan_q(spark, sf_dir):
+    """S2 over dump text that Spark writes from the fixture pages, with a
+    talk page (namespace 1) beside every page and a redirect-table line
+    mixed in; only namespace-0 pages come back."""
+    from quire.sources import dumps
+    pages = fx.fx_pages(fx.fx_documents(spark, sf_dir))
+    talk = pages.select((F.col("page_id") + TALK_OFFSET).alias("page_id"), F.lit(1).alias("page_namespace"),
+                        F.concat(F.lit("Talk_"), F.col("page_title")).alias("page_title"), "language_code")
+    lines = dumps.dump_lines(pages.unionByName(talk), "page", "page_id", "page_namespace", "page_title")
+    other = dumps.dump_lines(pages, "redirect", "page_id", "page_namespace", "page_title")
+    return dumps.parse_page_lines(lines.unionByName(other), F.col("language_code"))
+
+
+@query("dump_redirects_scan", "SELECT from_page_id, to_title, language_code FROM fx_redirections")
+def dump_redirects_scan_q(spark, sf_dir):
+    """S3 over dump text written from the fixture redirects."""
+    from quire.sources import dumps
+    r = fx.fx_redirections(fx.fx_documents(spark, sf_dir))
+    lines = dumps.dump_lines(r, "redirect", "from_page_id", F.lit(0), "to_title")
+    return dumps.parse_redirect_lines(lines, F.col("language_code"))
+
+
+@query("first_wins_load", f"""
+, fx_new AS (
+  SELECT page_id, page_namespace, page_title, language_code, 0 AS ord FROM fx_pages
+  UNION ALL
+  SELECT page_id, page_namespace, 'Dup_' || page_title, language_code, 1 FROM fx_pages
+), fx_first AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, language_code ORDER BY ord) AS rn FROM fx_new
+)
+SELECT page_id, page_namespace, page_title, language_code FROM fx_first f
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM fx_pages e
+                             WHERE e.page_id = f.page_id AND e.language_code = f.language_code
+                               AND e.page_id < {fx.ALIAS_OFFSET})
+""", ints=("page_namespace",))
+def first_wins_load_q(spark, sf_dir):
+    """A batch holding every page twice (the second copy renamed) is
+    loaded against a store that already holds the document pages: one row
+    per key, the first copy, and nothing already stored."""
+    from quire.plans.load import first_wins
+    pages = fx.fx_pages(fx.fx_documents(spark, sf_dir))
+    stored = pages.filter(F.col("page_id") < fx.ALIAS_OFFSET)
+    new = pages.withColumn("ord", F.lit(0)).unionByName(
+        pages.withColumn("page_title", F.concat(F.lit("Dup_"), "page_title")).withColumn("ord", F.lit(1)))
+    out = first_wins(new, stored, ["page_id", "language_code"], "ord")
+    return out.select("page_id", "page_namespace", "page_title", "language_code")
+
+
+PLAN_LANGS = ["en", "fr", "de", "es", "ja"]
+
+
+@query("load_plan", r"""
+, fx_meta AS (
+  SELECT d.language_code AS subset, count(*) AS pages, sum(length(d.text_body)) AS size_bytes,
+         (SELECT count(*) FROM fx_redirections r WHERE r.language_code = d.language_code) AS redirections
+  FROM fx_documents d GROUP BY d.language_code
+), fx_conf AS (
+  SELECT unnest(['en', 'fr', 'de', 'es', 'ja']) AS language_code, unnest(range(5)) AS lang_rank
+), fx_done AS (
+  SELECT subset AS language_code, 'pages' AS dataset FROM fx_meta
+  UNION ALL SELECT subset, 'documents' FROM fx_meta WHERE pages >= 120
+), fx_plan AS (
+  SELECT c.language_code, c.lang_rank, ds.dataset,
+         CASE WHEN m.pages IS NULL THEN 'unavailable'
+              WHEN d.language_code IS NOT NULL THEN 'complete' ELSE 'target' END AS status,
+         CASE WHEN ds.dataset = 'redirections' THEN m.redirections ELSE m.pages END AS expected_rows
+  FROM fx_conf c LEFT JOIN fx_meta m ON m.subset = c.language_code
+  CROSS JOIN (SELECT unnest(['pages', 'documents', 'redirections']) AS dataset) ds
+  LEFT JOIN fx_done d ON d.language_code = c.language_code AND d.dataset = ds.dataset
+)
+SELECT *,
+  coalesce(sum(CASE WHEN dataset = 'documents' AND status <> 'unavailable' THEN expected_rows END) OVER (PARTITION BY dataset), 0) AS total_items,
+  coalesce(sum(CASE WHEN dataset = 'documents' AND status = 'complete' THEN expected_rows END) OVER (PARTITION BY dataset), 0) AS already_processed
+FROM fx_plan
+""", ints=("lang_rank", "expected_rows", "total_items", "already_processed"))
+def load_plan_q(spark, sf_dir):
+    """S1 + S9 + A1: metadata derived from the corpus (as CSV-like text,
+    typed by S1), a manifest with pages complete everywhere and documents
+    complete where a language has at least 120 documents, and the plan for
+    five configured languages (one of them absent from the metadata)."""
+    from quire.plans.load import load_plan
+    from quire.sources.metadata import typed_metadata
+    docs = fx.fx_documents(spark, sf_dir)
+    redir = fx.fx_redirections(docs).groupBy("language_code").agg(F.count(F.lit(1)).alias("redirections"))
+    meta = (docs.groupBy("language_code").agg(F.count(F.lit(1)).alias("pages"),
+                                              F.sum(F.length("text_body")).alias("size_bytes"))
+            .join(redir, "language_code", "left"))
+    raw = meta.select(F.col("language_code").alias("subset"), *[F.col(c).cast("string").alias(c)
+                                                                for c in ("pages", "size_bytes", "redirections")],
+                      F.lit(0).alias("_order"))
+    typed = typed_metadata(raw)
+    done = (typed.select(F.col("subset").alias("language_code"), F.lit("pages").alias("dataset"), F.lit(True).alias("is_complete"))
+            .unionByName(typed.filter(F.col("pages__n") >= 120).select(
+                F.col("subset").alias("language_code"), F.lit("documents").alias("dataset"),
+                F.lit(True).alias("is_complete"))))
+    return load_plan(PLAN_LANGS, typed, done)
+
+
+@query("random_article_seeded", r"""
+SELECT title, text_body FROM (
+  SELECT * FROM fx_documents WHERE language_code IN ('en', 'fr')
+  ORDER BY md5(CAST(page_id AS VARCHAR) || 'quire'), language_code, page_id LIMIT 1)
+""")
+def random_article_seeded_q(spark, sf_dir):
+    """R1 with a seed: the sampling operator (LIMIT 1 is its feature)."""
+    from quire.operators.sample import random_article
+    return random_article(fx.fx_documents(spark, sf_dir), ["en", "fr"], seed="quire")
