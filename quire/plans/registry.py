@@ -687,3 +687,47 @@ def random_article_seeded_q(spark, sf_dir):
     """R1 with a seed: the sampling operator (LIMIT 1 is its feature)."""
     from quire.operators.sample import random_article
     return random_article(fx.fx_documents(spark, sf_dir), ["en", "fr"], seed="quire")
+
+
+# --- S10, P1: streams ---------------------------------------------------------------
+
+def _documents_stream(spark, sf_dir):
+    from quire.streaming.loads import file_stream
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return file_stream(spark, sf_dir, schema, glob="documents.parquet")
+
+
+def _as_fx_documents(df):
+    head = F.regexp_extract("text", fx.TITLE_PATTERN, 1)
+    title = F.when(head == "", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).otherwise(head)
+    return df.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("language_code"),
+                     title.alias("title"), F.col("text").alias("text_body"))
+
+
+@query("resume_load_stream")
+def resume_load_stream_q(spark, sf_dir):
+    """The documents file streamed into a language-partitioned table
+    with first-wins batches, run twice on one checkpoint: the second run
+    resumes and adds nothing (rows-only)."""
+    from quire.session import shared_dir
+    from quire.streaming.loads import load_stream
+    target, ckpt = shared_dir(spark, "stream-docs"), shared_dir(spark, "stream-docs-ckpt")
+    for _ in range(2):
+        q = load_stream(spark, _as_fx_documents(_documents_stream(spark, sf_dir)), target, ckpt)
+        q.awaitTermination()
+    return spark.read.parquet(target).select("page_id", "language_code", "title", "text_body")
+
+
+@query("request_stream_search")
+def request_stream_search_q(spark, sf_dir):
+    """Fixture requests derived from the streamed documents, answered
+    per micro-batch by the cascade against the materialised corpus
+    (rows-only; one response per request)."""
+    from quire.session import shared_dir
+    from quire.streaming.requests import search_stream
+    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
+    reqs = fx.fx_requests(_as_fx_documents(_documents_stream(spark, sf_dir))).select(
+        "request_id", "title", "length", "languages")
+    sink, ckpt = shared_dir(spark, "stream-answers"), shared_dir(spark, "stream-answers-ckpt")
+    search_stream(spark, reqs, c, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink)
