@@ -450,7 +450,8 @@ def term_document_frequency_q(spark, sf_dir):
 
 def _single_k(spark, sf_dir):
     """Each fixture request as one key row: its title in its language."""
-    c = fx.corpus(spark, sf_dir)
+    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize(("doc_terms", "postings", "term_stats",
+                                                                 "title_grams"))
     req = fx.fx_requests(c.documents)
     k = req.select("request_id", F.lit(0).alias("variant_rank"), F.lit(0).alias("lang_rank"),
                    F.col("title").alias("variant"), "language_code")
@@ -495,14 +496,14 @@ _TERMS_SQL = r"""
 def title_terms_match_q(spark, sf_dir):
     from quire.operators import textsearch
     c, k = _single_k(spark, sf_dir)
-    return _top(textsearch.title_matches(k, c), ["page_id"]).select("request_id", "page_id", "title")
+    return _top(textsearch.title_matches(k, c, 20), ["page_id"]).select("request_id", "page_id", "title")
 
 
 @query("body_terms_match", _TERMS_SQL + "SELECT request_id, page_id, title FROM fx_bm WHERE rn <= 20")
 def body_terms_match_q(spark, sf_dir):
     from quire.operators import textsearch
     c, k = _single_k(spark, sf_dir)
-    return _top(textsearch.body_matches(k, c), ["page_id"]).select("request_id", "page_id", "title")
+    return _top(textsearch.body_matches(k, c, 20), ["page_id"]).select("request_id", "page_id", "title")
 
 
 _SNIPPET_SQL = r"""
@@ -532,7 +533,7 @@ FROM fx_sn2
 def body_snippet_q(spark, sf_dir):
     from quire.operators import textsearch
     c, k = _single_k(spark, sf_dir)
-    hits = _top(textsearch.body_matches(k, c), ["page_id"])
+    hits = _top(textsearch.body_matches(k, c, 20), ["page_id"])
     bodies = c.documents.select(F.col("language_code").alias("_l"), F.col("page_id").alias("_p"), "text_body")
     j = hits.join(bodies, (hits.language_code == bodies._l) & (hits.page_id == bodies._p))
     return j.select("request_id", "page_id", textsearch.keyword_snippet("text_body", "variant").alias("snippet"))

@@ -65,3 +65,16 @@ def materialize(df, name: str):
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# Request-side tables (one row per distinct query of a batch) are broadcast
+# so the large corpus side streams through every partition; above this many
+# rows they are joined by shuffle instead.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_broadcast(df, max_rows: int = MAX_BROADCAST_ROWS):
+    """``broadcast(df)`` when it has at most ``max_rows`` rows (checked with a
+    count), else ``df`` unchanged for a shuffle join."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
