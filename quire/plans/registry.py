@@ -474,11 +474,19 @@ _TERMS_SQL = r"""
   SELECT r.request_id, d.page_id, d.title, row_number() OVER (PARTITION BY r.request_id ORDER BY d.page_id) AS rn
   FROM fx_rq r JOIN fx_dt d ON d.language_code = r.language_code
   WHERE len(r.qt) > 0 AND list_has_all(d.tt, r.qt)
+), fx_qt AS (
+  SELECT request_id, language_code, variant, unnest(qt) AS t, len(qt) AS nt FROM fx_rq WHERE len(qt) > 0
+), fx_bp AS (
+  SELECT page_id, language_code, unnest(bt) AS t FROM fx_dt
+), fx_bm0 AS (
+  SELECT q.request_id, b.page_id FROM fx_qt q JOIN fx_bp b ON b.language_code = q.language_code AND b.t = q.t
+  GROUP BY q.request_id, b.page_id, q.nt HAVING count(*) = q.nt
 ), fx_bm AS (
   SELECT r.request_id, r.variant, d.page_id, d.title, d.text_body, r.qt,
          row_number() OVER (PARTITION BY r.request_id ORDER BY d.page_id) AS rn
-  FROM fx_rq r JOIN fx_dt d ON d.language_code = r.language_code
-  WHERE len(r.qt) > 0 AND list_has_all(d.bt, r.qt) AND d.title <> r.variant
+  FROM fx_bm0 m JOIN fx_rq r ON r.request_id = m.request_id
+  JOIN fx_dt d ON d.page_id = m.page_id AND d.language_code = r.language_code
+  WHERE d.title <> r.variant
 ), fx_rp AS (
   SELECT p.language_code, p.page_id, p.page_title, x.to_title
   FROM fx_pages p JOIN fx_redirections x ON x.from_page_id = p.page_id AND x.language_code = p.language_code
