@@ -19,6 +19,7 @@ _WS_RUN = r"(?U)\s+"
 CJK_CLASS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 CJK_RUN = f"[{CJK_CLASS}]+"
 WORD_RUN = rf"[\p{{L}}\p{{N}}&&[^{CJK_CLASS}]]+"
+PLAIN_RUN = r"[\p{L}\p{N}]+"
 
 
 def col_of(c) -> Column:
@@ -109,6 +110,13 @@ def cjk_bigrams(runs: Column) -> Column:
                         lambda i: F.substring(r, i, 2)))))
 
 
-def terms(c) -> Column:
-    """Distinct index terms of a text: words plus CJK bigrams."""
-    return F.array_distinct(F.concat(word_terms(c), cjk_bigrams(cjk_runs(c))))
+def terms(c, cjk=None) -> Column:
+    """Distinct index terms of a text.  Text of a CJK language (``cjk``
+    true): words outside CJK scripts plus bigrams of CJK runs.  Any other
+    text: maximal runs of letters or digits.  Both sides of a match use the
+    rule of the row's language; without ``cjk`` the CJK rule applies."""
+    wide = F.array_distinct(F.concat(word_terms(c), cjk_bigrams(cjk_runs(c))))
+    if cjk is None:
+        return wide
+    plain = F.array_distinct(F.regexp_extract_all(F.lower(col_of(c)), F.lit(PLAIN_RUN), 0))
+    return F.when(col_of(cjk), wide).otherwise(plain)

@@ -448,10 +448,9 @@ def term_document_frequency_q(spark, sf_dir):
     return textsearch.term_document_frequency(textsearch.build_postings(textsearch.document_terms(d)))
 
 
-def _single_k(spark, sf_dir):
+def _single_k(spark, sf_dir, indexes=("postings", "term_stats")):
     """Each fixture request as one key row: its title in its language."""
-    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize(("doc_terms", "postings", "term_stats",
-                                                                 "title_grams"))
+    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize(indexes)
     req = fx.fx_requests(c.documents)
     k = req.select("request_id", F.lit(0).alias("variant_rank"), F.lit(0).alias("lang_rank"),
                    F.col("title").alias("variant"), "language_code")
@@ -544,13 +543,14 @@ def body_snippet_q(spark, sf_dir):
     hits = _top(textsearch.body_matches(k, c, 20), ["page_id"])
     bodies = c.documents.select(F.col("language_code").alias("_l"), F.col("page_id").alias("_p"), "text_body")
     j = hits.join(bodies, (hits.language_code == bodies._l) & (hits.page_id == bodies._p))
-    return j.select("request_id", "page_id", textsearch.keyword_snippet("text_body", "variant").alias("snippet"))
+    return j.select("request_id", "page_id", textsearch.keyword_snippet(
+        "text_body", "variant", cjk=T.is_cjk("language_code")).alias("snippet"))
 
 
 @query("redirect_contains", _TERMS_SQL + "SELECT request_id, page_id, from_title, to_title FROM fx_rc WHERE rn <= 20")
 def redirect_contains_q(spark, sf_dir):
     from quire.operators import textsearch
-    c, k = _single_k(spark, sf_dir)
+    c, k = _single_k(spark, sf_dir, ("title_grams",))
     hits = textsearch.redirect_contains(k, c.pages, c.redirections, c.title_grams)
     return _top(hits, ["page_id", "to_title"]).select("request_id", "page_id", "from_title", "to_title")
 
@@ -567,7 +567,7 @@ SELECT request_id, rank, stage, page_id, title, from_title, to_title FROM fx_ran
 """, ints=("stage",))
 def capped_hits_q(spark, sf_dir):
     from quire.operators import cascade
-    c, k = _single_k(spark, sf_dir)
+    c, k = _single_k(spark, sf_dir, ("postings", "term_stats", "title_grams"))
     hits = cascade.partial_hits(k, c, 20)
     return hits.select("request_id", "rank", "stage", "page_id", "title", "from_title", "to_title")
 
@@ -577,7 +577,7 @@ def search_rendered_q(spark, sf_dir):
     """The whole cascade with variants over every fixture request,
     rendered to response texts (rows-only; goldens in tests)."""
     from quire.operators import cascade
-    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
+    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize(("postings", "term_stats", "blocks", "title_grams"))
     req = fx.fx_requests(c.documents).select("request_id", "title", "length", "languages")
     return cascade.render(cascade.search(req, c))
 
