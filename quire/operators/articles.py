@@ -168,69 +168,79 @@ DOC = ["language_code", "page_id", "length"]
 
 
 def _selection(blocks: DataFrame, targets: DataFrame):
-    """Greedy budgeted selection in closed form.
+    """X3 in closed form, windows only.
 
     Each heading is paid for by the first paragraph (in priority order)
     below it; a paragraph's cost is its units plus the headings it pays
     for; the kept paragraphs are those whose running cost stays within the
     limit, and always the first.  Because the kept set is a prefix of the
     priority order, a heading is required exactly when its first paragraph
-    is at or before the last kept one."""
+    is at or before the last kept one.
+
+    One repartition by (document, length); every window below is keyed by
+    a superset of it, so Spark adds no other exchange.  Returns (cut
+    targets, rows) where rows are paragraphs (with ``keep``) and headings
+    (with ``required``)."""
     doc = DOC
     cut = targets.filter(F.col("length") != "full").select(*doc).distinct()
     b = (blocks.join(cut, ["language_code", "page_id"], "inner")
          .repartition(*doc))
     cjk = is_cjk("language_code")
     b = b.withColumn("units", text_units("content", cjk))
-    paras = (b.filter(F.col("kind") == "para")
-             .withColumn("priority", F.row_number().over(_priority_order(*doc))))
-    # one row per (paragraph, enclosing heading), plus one row per heading
-    pairs = paras.select(*doc, "priority", "units", F.explode_outer("ancestors").alias("h"),
-                         F.lit(None).cast("int").alias("h_units"))
-    heads = b.filter(F.col("kind") == "heading").select(
-        *doc, F.lit(None).cast("int").alias("priority"), F.lit(0).alias("units"),
-        F.col("heading_no").alias("h"), F.col("units").alias("h_units"))
-    u = pairs.unionByName(heads)
+    is_para = F.col("kind") == "para"
+    # paragraphs numbered first (headings sort after them and get no number)
+    order = Window.partitionBy(*doc).orderBy(
+        (~is_para).asc(), F.col("level"), F.col("is_special").desc(), F.col("idx_in_heading"), F.col("heading_no"))
+    b = b.withColumn("priority", F.when(is_para, F.row_number().over(order)))
+    # one generator, so the partitioning survives: a paragraph yields a row
+    # per enclosing heading (pos 0 or null marks its own row), a heading
+    # yields one row for itself
+    owners = F.when(is_para, F.col("ancestors")).otherwise(F.array(F.col("heading_no")))
+    u = b.select(*doc, "kind", "line_start", "content", "level", "title", "heading_no", "units", "priority",
+                 F.posexplode_outer(owners).alias("pos", "h"),
+                 F.when(~is_para, F.col("units")).alias("h_units"))
     by_heading = Window.partitionBy(*doc, "h")
     u = (u.withColumn("first_priority", F.min("priority").over(by_heading))
          .withColumn("heading_units", F.max("h_units").over(by_heading)))
-    charged = (u.filter(F.col("priority").isNotNull())
-               .groupBy(*doc, "priority")
-               .agg(F.sum(F.when((F.col("priority") == F.col("first_priority")) & F.col("h").isNotNull(),
-                                 F.coalesce(F.col("heading_units"), F.lit(0)))
-                          .otherwise(0)).alias("charge")))
-    first_of_heading = u.filter(F.col("h_units").isNotNull()).select(
-        *doc, F.col("h").alias("heading_no"), "first_priority")
-    cost = paras.join(charged, doc + ["priority"], "inner").withColumn(
-        "cost", F.col("units") + F.col("charge"))
-    running = Window.partitionBy(*doc).orderBy("priority").rowsBetween(Window.unboundedPreceding, 0)
-    cost = cost.withColumn("running", F.sum("cost").over(running))
-    kept = cost.filter((F.col("running") <= _limit(F.col("length"), cjk)) | (F.col("priority") == 1))
-    last_kept = kept.groupBy(*doc).agg(F.max("priority").alias("last_priority"),
-                                       F.count(F.lit(1)).alias("n_kept"))
-    n_paras = paras.groupBy(*doc).agg(F.count(F.lit(1)).alias("n_paras"))
-    headings = (b.filter(F.col("kind") == "heading")
-                .join(first_of_heading, doc + ["heading_no"], "left")
-                .join(last_kept, doc, "left")
-                .withColumn("required", F.coalesce(F.col("first_priority") <= F.col("last_priority"),
-                                                   F.lit(False))))
-    return cut, kept, headings, last_kept, n_paras
-
-
-def _omitted(headings: DataFrame) -> DataFrame:
+    pays = F.when((F.col("priority") == F.col("first_priority")) & F.col("h").isNotNull()
+                  & (F.col("kind") == "para"), F.coalesce(F.col("heading_units"), F.lit(0))).otherwise(0)
+    u = u.withColumn("charge", F.sum(pays).over(Window.partitionBy(*doc, "priority")))
+    rows = u.filter((F.col("kind") == "heading") | F.col("pos").isNull() | (F.col("pos") == 0))
+    cost = F.when(is_para, F.col("units") + F.col("charge")).otherwise(0)
+    running = Window.partitionBy(*doc).orderBy(F.col("priority").asc_nulls_first(), "line_start").rowsBetween(
+        Window.unboundedPreceding, 0)
+    rows = rows.withColumn("running", F.sum(cost).over(running))
+    rows = rows.withColumn("keep", is_para & ((F.col("running") <= _limit(F.col("length"), cjk))
+                                              | (F.col("priority") == 1)))
+    whole = Window.partitionBy(*doc)
+    rows = (rows.withColumn("last_priority", F.max(F.when(F.col("keep"), F.col("priority"))).over(whole))
+            .withColumn("required", (F.col("kind") == "heading")
+                        & F.coalesce(F.col("first_priority") <= F.col("last_priority"), F.lit(False))))
+    return cut, rows
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Per document: the kept text, the omitted-heading list and whether a
+    paragraph was left out -- one aggregation on the document key."""
+    shown = F.col("keep") | F.col("required")
     bullet = F.concat(F.repeat(F.lit("  "), F.col("level") - 2), F.lit("- "), F.col("title"))
-    return (headings.filter(~F.col("required") & (F.col("level") >= 2))
-            .groupBy(*DOC).agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("heading_no", bullet.alias("b")))),
-                lambda s: s["b"]), "\n").alias("omitted")))
+    omit = (F.col("kind") == "heading") & ~F.col("required") & (F.col("level") >= 2)
+    agg = rows.groupBy(*DOC).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("line_start", "content")))),
+                                 lambda s: s["content"]), "\n\n").alias("body"),
+        F.collect_list(F.when(omit, F.struct("heading_no", bullet.alias("b")))).alias("_omit"),
+        F.sum(F.when(F.col("kind") == "para", 1).otherwise(0)).alias("n_paras"),
+        F.sum(F.when(F.col("keep"), 1).otherwise(0)).alias("n_kept"))
+    omitted = F.when(F.size("_omit") > 0, F.array_join(F.transform(F.array_sort("_omit"), lambda s: s["b"]), "\n"))
+    return agg.withColumn("omitted", omitted).drop("_omit")
 
 
 def omitted_headings(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     """Headings of level 2 or more that the cut leaves out, as an
     indented bullet list in document order (documents with none are
     absent)."""
-    _, _, headings, _, _ = _selection(blocks, targets)
-    return _omitted(headings)
+    _, rows = _selection(blocks, targets)
+    return _parts(rows).filter(F.col("omitted").isNotNull()).select(*DOC, "omitted")
 
 
 def extract(blocks: DataFrame, targets: DataFrame, documents: DataFrame | None = None,
@@ -242,14 +252,8 @@ def extract(blocks: DataFrame, targets: DataFrame, documents: DataFrame | None =
     ``documents`` unchanged.  Returns (language_code, page_id, length,
     article_text)."""
     doc = DOC
-    cut, kept, headings, last_kept, n_paras = _selection(blocks, targets)
-    parts = (kept.select(*doc, "line_start", "content")
-             .unionByName(headings.filter("required").select(*doc, "line_start", "content")))
-    body = (parts.groupBy(*doc).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line_start", "content"))), lambda s: s["content"]),
-        "\n\n").alias("body")))
-    out = (cut.join(body, doc, "left").join(_omitted(headings), doc, "left")
-           .join(n_paras, doc, "left").join(last_kept, doc, "left"))
+    cut, rows = _selection(blocks, targets)
+    out = cut.join(_parts(rows), doc, "left")
     text = F.coalesce(F.col("body"), F.lit(""))
     larger = F.when(F.col("length") == "short", F.lit("medium")).otherwise(F.lit("full"))
     hint = F.concat(F.lit("\n\nIf you want to read more, please use the `"), F.lit(tool_name),
