@@ -20,7 +20,8 @@ LANGUAGES = ["en", "fr", "de", "es"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from quire.session import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

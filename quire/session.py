@@ -64,7 +64,7 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
 
 
 # Request-side tables (one row per distinct query of a batch) are broadcast
@@ -78,3 +78,12 @@ def bounded_broadcast(df, max_rows: int = MAX_BROADCAST_ROWS):
     count), else ``df`` unchanged for a shuffle join."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df, min_partitions: int | None = None):
+    """Repartition ``df`` only when its scan plans fewer partitions than the
+    cluster runs tasks (a small file with one row group reads as one
+    partition, and everything before the first shuffle would run on one
+    core).  Inputs that already split well are left alone -- no shuffle."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
