@@ -3,7 +3,9 @@ finding the shared folder used to cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,19 +44,40 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir`` (or the checkpoint dir
-    already set on the context).  Only when neither is set -- local tests --
-    a folder under the system temp dir is created and registered, so that
-    ``DataFrame.checkpoint()`` works too.
+    already set on the context).  When neither is set, a ``local[...]``
+    session -- tests, benches -- gets a folder under the system temp dir; on a
+    cluster that is an error, since executors would each write to a disk of
+    their own.  Folders handed out are deleted when the Python driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: master {master} needs a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    base = base.rstrip("/")
-    return f"{base}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    if not _handed_out:
+        atexit.register(release_shared, spark)
+    _handed_out.append(path)
+    return path
+
+
+_handed_out: list[str] = []
+
+
+def release_shared(spark: SparkSession) -> None:
+    """Delete the folders that ``shared_dir`` has handed out; call it when no
+    result that reads them is needed any more (it also runs at exit)."""
+    while _handed_out:
+        path = _handed_out.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone at exit; the folder then stays for the platform's clean-up
+            return
 
 
 def materialize(df, name: str):
@@ -64,7 +87,7 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Request-side tables (one row per distinct query of a batch) are broadcast
