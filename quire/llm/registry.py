@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import minhash
+from quire.llm import chat, decontaminate, minhash, sharding
 from quire.llm.tables import table
 
 
@@ -14,6 +15,29 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_minhash_dedup,)}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").alias("n_near_items"))
 
-ORACLE: dict[str, str] = {}
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op4_chat_formatting, op7_sharding, op9_minhash_dedup)}
+
+ORACLE: dict[str, str] = {
+    "op4_chat_formatting": """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) pos FROM conversations),
+r AS (SELECT conv_id, pos, coalesce(role, 'unknown') AS shown, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS said,
+             to_json([role, text]) AS exact FROM t),
+p AS (SELECT conv_id, pos, string_agg(exact, '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+c AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n) AS n_turns FROM p WHERE pos = n GROUP BY prefix),
+k AS (SELECT * FROM c WHERE prefix NOT IN (SELECT prefix FROM p WHERE pos < n))
+SELECT k.conv_id, k.n_turns, k.n_copies, string_agg(r.said, '' ORDER BY r.pos) AS rendered
+FROM k JOIN r ON k.conv_id = r.conv_id GROUP BY k.conv_id, k.n_turns, k.n_copies""",
+}
