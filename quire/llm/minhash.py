@@ -87,7 +87,7 @@ def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     h = np.zeros((len(sig), bands), np.uint64)
     for r in range(rows):
         h = words.mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(np.uint64) + np.uint64(r + 1))
-    return h
+    return words.mix64(h + np.arange(1, bands + 1, dtype=np.uint64))
 
 
 def _signed(sig: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -171,20 +171,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(sig.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "classes")
     named = classes.where("class is not null").select("class", "n")
     first = sig.where("n > 0").select(F.col("id").alias("class"), "n", "bands").join(named, ["class", "n"], "left_semi").dropDuplicates(["class", "n"])
-    rows = first.select("class", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = rows.groupBy("band", "h").agg(F.count("*").alias("members"), F.min(F.struct("class", "n")).alias("least")).where("members > 1")
-    members = materialize(rows.join(buckets.select("band", "h", F.col("least.class").alias("a"), F.col("least.n").alias("m")), ["band", "h"]), "members")
+    rows = first.select("class", F.col("n").cast("int").alias("n"), F.explode("bands").alias("h"))
+    buckets = rows.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("class", "n")).alias("least")).where("members > 1")
+    members = materialize(rows.join(buckets.select("h", F.col("least.class").alias("a"), F.col("least.n").alias("m")), "h"), "members")
 
     ids = members.select("class").distinct()
-    sets = materialize(_sets_of(docs.withColumnRenamed("id", "class").join(ids, "class", "left_semi"), size).dropDuplicates(["class"]), "sets")
+    sets = materialize(_sets_of(docs.withColumnRenamed("id", "class").join(ids, "class", "left_semi"), size), "sets")
     stars = members.where((F.col("a") != F.col("class")) & _sizes_fit("n", "m", percent)).select("a", F.col("class").alias("b")).distinct()
     links = materialize(_confirmed(stars, sets, percent), "links")
     found = components(links)
 
-    spans = members.select("band", "h", "class").join(found.withColumnRenamed("id", "class"), "class", "left").select("band", "h", "class", F.coalesce("component", "class").alias("component"))
+    spans = members.select("h", "class").join(found.withColumnRenamed("id", "class"), "class", "left").select("h", "class", F.coalesce("component", "class").alias("component"))
     spans = materialize(spans, "spans")
-    open_buckets = spans.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ids = spans.join(open_buckets, ["band", "h"], "left_semi").select("class", "component").distinct()
+    open_buckets = spans.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    open_ids = spans.join(open_buckets, "h", "left_semi").select("class", "component").distinct()
     more = materialize(_confirmed(_early_pairs(sets.join(open_ids, "class"), percent), sets, percent), "more")
     found = components(links.union(more))
 
