@@ -1,7 +1,11 @@
 """Cleaning pipeline over `documents`: quality classifier, language ID, MinHash
 near-dedup, benchmark decontamination, SentencePiece encoding and decoding.
 
-Every stage gets what its predecessor kept, written as Parquet and reread.
+Every stage gets what its predecessor kept, written as Parquet and reread; all
+but the last return the columns of `documents`.  Null or empty texts go in the
+first stage (no words, no quality).  A document id that repeats keeps one row
+in the near-duplicate stage; rows without an id stay.  An empty table stays
+empty throughout.
 """
 
 from __future__ import annotations
@@ -9,21 +13,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import minhash
+from quire.llm import decontaminate, language, minhash, pieces, quality
 from quire.llm.tables import table
 from quire.session import materialize
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are in none of the learned languages go."""
+    return language.keep_known(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    found = minhash.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept")
+    marks = materialize(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "marks")
+    once = docs.join(marks.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(marks.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).select(docs.columns)
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(materialize(found.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document left, decoded again as a check."""
+    return pieces.encode_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("good_quality", good_quality), ("known_language", known_language), ("near_dedup", near_dedup), ("clean_of_benchmarks", clean_of_benchmarks), ("tokens", tokens)]
 
-#: No SQL for the stages: tests/llm compares them with brute force.
+#: No SQL for trained models, Jaccard links and tokens: tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ RIDGE = 1e-3
 #: Texts of one matrix product.
 ROWS = 256
 UNKNOWN = "und"
+#: Least score of a document that the filter keeps; the model is undecided at 0.5, short texts of a language stay above this.
+LEAST = 0.25
 
 _letter = np.zeros(256, np.uint32)
 _letter[97:123] = _letter[65:91] = np.arange(1, 27)
@@ -119,24 +122,27 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     return fit(p.astype(np.float32), [r["lang"] for r in rows], landmarks)
 
 
+def recognise(model: Model | None, column: pa.Array, lettered: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(language, score) of every text; ``lettered`` says which have letters."""
+    named = lettered.to_numpy(zero_copy_only=False)
+    if model is None:
+        return [UNKNOWN] * len(named), np.zeros(len(named))
+    s = model.scores(presence(column))
+    said = [model.languages[b] if ok else UNKNOWN for b, ok in zip(s.argmax(1), named, strict=True)]
+    return said, np.where(named, np.clip((s.max(1) + 1) / 2, 0, 1), 0.0).astype(np.float64)
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, held_out, lang_pred, score) per row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for chunk in words.chunks(batch, "text"):
                 for i in range(0, chunk.num_rows, ROWS):
                     part = chunk.slice(i, ROWS)
-                    named = part["lettered"].to_numpy(zero_copy_only=False)
-                    best, score = np.zeros(len(named), int), np.zeros(len(named))
-                    if model is not None:
-                        s = model.scores(presence(part["text"]))
-                        best, score = s.argmax(1), np.clip((s.max(1) + 1) / 2, 0, 1).astype(np.float64)
-                    said = [model.languages[b] if ok and model is not None else UNKNOWN for b, ok in zip(best, named, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part["id"], part["held_out"], pa.array(said, pa.string()), pa.array(np.where(named, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
+                    said, score = recognise(sent.value, part["text"], part["lettered"])
+                    yield pa.RecordBatch.from_arrays([part["id"], part["held_out"], pa.array(said, pa.string()), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), lettered.alias("lettered"), F.col(text_col).alias("text"))
@@ -146,3 +152,24 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``predict`` with the model trained on ``docs``."""
     return predict(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col)
+
+
+def keep_known(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in a learned language with a score of ``least`` or
+    more, all columns as they are; with nothing to learn from, every row with a
+    letter."""
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in words.chunks(batch, text_col):
+                for i in range(0, chunk.num_rows, ROWS):
+                    part = chunk.slice(i, ROWS)
+                    lettered = pc.is_valid(part[text_col])
+                    if sent.value is None:
+                        yield part.filter(lettered)
+                    else:
+                        yield part.filter(pa.array(recognise(sent.value, part[text_col], lettered)[1] >= least))
+
+    return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

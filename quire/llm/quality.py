@@ -234,21 +234,27 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(labels, train_scorer(x, labels.posterior(digits(np.array([r["pattern"] for r in rows])))))
 
 
+def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of the votes, score, kept) of every text."""
+    t = read(column)
+    some = np.diff(t.first) > 0
+    weak = model.labels.posterior(votes(t)) if model.labels else np.full(len(some), 0.5)
+    p = weak
+    if model.scorer is not None:
+        p = 1 / (1 + np.exp(-np.clip(features(t) @ model.scorer[:-1] + model.scorer[-1], -30, 30)))
+    p = np.where(some, p, 0.0)
+    return weak, p, (p >= KEEP) & some
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row (id, weak_label, score, kept) per row of ``docs`` (id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for part in words.chunks(batch, "text"):
-                t = read(part["text"])
-                weak = model.labels.posterior(votes(t)) if model.labels else np.full(part.num_rows, 0.5)
-                p = weak
-                if model.scorer is not None:
-                    p = 1 / (1 + np.exp(-np.clip(features(t) @ model.scorer[:-1] + model.scorer[-1], -30, 30)))
-                p = np.where(np.diff(t.first) > 0, p, 0.0)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(weak), pa.array(p), pa.array((p >= KEEP) & (np.diff(t.first) > 0))], ["id", "weak_label", "score", "kept"])
+                weak, p, kept = judge(sent.value, part["text"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(weak), pa.array(p), pa.array(kept)], ["id", "weak_label", "score", "kept"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, weak_label double, score double, kept boolean")
 
@@ -257,3 +263,17 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """One row (id_col, weak_label, score, kept) per row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return score(rows, train(rows, sample)).withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns as they are;
+    texts are filtered where they are read, without a join."""
+    model = train(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), sample)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.chunks(batch, text_col):
+                yield part.filter(pa.array(judge(sent.value, part[text_col])[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, language, lattice, minhash, quality, sharding
+from quire.llm import chat, decontaminate, language, lattice, minhash, pieces, quality, sharding
 from quire.llm.tables import table
 
 
@@ -19,6 +19,10 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").alias("n_near_items"))
@@ -40,7 +44,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op7_sharding, op8_language_id, op9_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op7_sharding, op8_language_id, op9_minhash_dedup)}
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": """

@@ -87,8 +87,9 @@ def word_spans(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span (ascending, not overlapping), piece by piece."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray = _code) -> np.ndarray:
+    """64-bit hash of every span (ascending, not overlapping), piece by piece.
+    ``code`` gives the value of each byte or code point."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -96,7 +97,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         lo, hi = int(start[i]), int(end[j - 1])
         up, down = _powers(max(PIECE_BYTES, hi - lo))
         run = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_code[data[lo:hi]] * up[: hi - lo], out=run[1:])
+        np.cumsum(code[data[lo:hi]] * up[: hi - lo], out=run[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
         out[i:j] = mix64((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
