@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words
@@ -225,9 +225,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     labels = estimate(digits(pattern), np.array([r["count"] for r in counted], float))
     good = [int(p) for p, q in zip(pattern, labels.posterior(digits(pattern)), strict=True) if q >= 0.5]
     side = F.col("pattern").isin(good) if good else F.lit(False)
-    order = Window.partitionBy("good").orderBy(F.xxhash64("id"), "id")
-    ids = voted.where("id is not null").select("id", side.alias("good")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("id").distinct()
-    rows = sorted(_featured(docs.join(ids, "id", "left_semi")).collect())[: 4 * sample]  # 2 x SAMPLE rows, but for repeated ids
+    named = voted.where("id is not null")
+    ids = named.where(side).orderBy(F.xxhash64("id"), "id").limit(sample).union(named.where(~side).orderBy(F.xxhash64("id"), "id").limit(sample)).select("id").distinct()
+    # 2 x SAMPLE ids: sent to the texts, so that no text moves.
+    rows = sorted(_featured(docs.join(F.broadcast(ids), "id", "left_semi")).collect())[: 4 * sample]  # 2 x SAMPLE rows, but for repeated ids
     if not rows:
         return Model(labels, None)
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float16).reshape(len(rows), WIDTH).astype(np.float32)
