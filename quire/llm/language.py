@@ -114,7 +114,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
                 bits = np.packbits(presence(part["text"]).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part["id"], part["lang"], pa.array([x.tobytes() for x in bits], pa.binary())], ["id", "lang", "bits"])
 
-    sample = usable.join(ids, "id", "left_semi").select("id", "lang", "text").mapInArrow(run, "id long, lang string, bits binary")
+    # PER_LANGUAGE ids of each language: sent to the texts, so that no text moves.
+    sample = usable.join(F.broadcast(ids), "id", "left_semi").select("id", "lang", "text").mapInArrow(run, "id long, lang string, bits binary")
     rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["id"], r["bits"]))  # languages x PER_LANGUAGE small rows
     if not rows:
         return None
