@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, language, lattice, minhash, pieces, quality, sharding, tokencount
+from quire.llm import chat, decontaminate, extract, language, lattice, minhash, pieces, quality, sharding, tokencount
 from quire.llm.tables import table
 
 
@@ -48,7 +48,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction)}
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": """
