@@ -43,6 +43,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 #: Slots of the table of decided pairs.
 SLOTS = 1 << 20
+#: Words beyond this many characters (encoded data, mostly) are walked one by one.
+LONG = 200
 #: Encoded words that a Python worker remembers; beyond it, it forgets all.
 REMEMBERED = 1 << 20
 _POINT = mix64(np.arange(0x110000, dtype=np.uint64) + np.uint64(0x51ED27))
@@ -192,7 +194,6 @@ def viterbi(m: Model, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number of tokens).  A character without a piece is the token -1 - character."""
     n, size = letters.shape
     sums = np.zeros((n, size + 1), np.uint64)
-    # Positions beyond the powers' table cannot occur: longer words are cut by `encode`.
     np.cumsum(_POINT[letters] * _UP[:size], axis=1, out=sums[:, 1:])
     best = np.full((n, size + 1), -np.inf)
     best[:, 0] = 0
@@ -233,6 +234,46 @@ def viterbi(m: Model, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
+def walk(m: Model, letters: np.ndarray) -> list[int]:
+    """Tokens of one long word: the same search, with the probes and the pairs
+    of neighbours vectorised along the word."""
+    n, widths = len(letters), min(m.longest, len(letters))
+    up, down = words._powers(max(n, words.PIECE_BYTES))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_POINT[letters] * up[:n], dtype=np.uint64)])
+    piece = np.full((n, widths), -1)  # [start, width - 1]
+    for w in range(1, widths + 1):
+        piece[:n - w + 1, w - 1] = m.find(_finish((sums[w:] - sums[:n - w + 1]) * down[:n - w + 1], w))
+    usable = (piece >= 0) & m.reached[np.maximum(piece, 0)]
+    unknown = piece[:, 0] < 0
+    piece[unknown, 0], usable[unknown, 0] = -1 - letters[unknown].astype(np.int64), True
+    follows = np.zeros((n, widths), np.uint64)  # [start, width of the piece before - 1]: widths allowed here, as bits
+    follows[0] = usable[0].astype(np.uint64) @ (np.uint64(1) << np.arange(widths, dtype=np.uint64))
+    for a in range(1, widths + 1):
+        for b in range(1, widths + 1):
+            at = np.arange(a, n)
+            at = at[usable[at - a, a - 1] & usable[at, b - 1]]
+            left, right = piece[at - a, a - 1], piece[at, b - 1]
+            ok = np.ones(len(at), bool)
+            both = np.flatnonzero((left >= 0) & (right >= 0)) if m.bpe else np.zeros(0, int)
+            ok[both] = fits(m, left[both], right[both])
+            follows[at[ok], a - 1] |= np.uint64(1 << (b - 1))
+    value = np.where(piece >= 0, 0.0 if m.bpe else m.score[np.maximum(piece, 0)], 0.0 if m.bpe else m.score.min() - 10).tolist()
+    best, last = [-np.inf] * (n + 1), [1] * (n + 1)
+    best[0] = 0.0
+    rows = follows.tolist()
+    for at in range(n):
+        bits, b = rows[at][last[at] - 1] if best[at] > -np.inf else 0, 0
+        while bits:
+            if bits & 1 and best[at] + value[at][b] > best[at + b + 1]:
+                best[at + b + 1], last[at + b + 1] = best[at] + value[at][b], b + 1
+            bits, b = bits >> 1, b + 1
+    out, at = [], n
+    while at:
+        out.append(int(piece[at - last[at], last[at] - 1]))
+        at -= last[at]
+    return out[::-1]
+
+
 def _learn(m: Model, points: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> None:
     """Encodes words (ascending hashes) that are not remembered yet."""
     if len(m.words) + len(hashes) > REMEMBERED:
@@ -242,6 +283,13 @@ def _learn(m: Model, points: np.ndarray, start: np.ndarray, length: np.ndarray,
     edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         size = int(length[order[i]])
+        if size > LONG:
+            for row in order[i:j]:
+                found = walk(m, points[start[row]:start[row] + size])
+                tokens.append(np.array(found, np.int32))
+                place[:, row] = total, len(found)
+                total += len(found)
+            continue
         most = max(1, (1 << 19) // size)  # bounds the cells of a batch
         for k in range(i, j, most):
             rows = order[k:min(j, k + most)]
