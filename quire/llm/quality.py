@@ -3,7 +3,8 @@
 No labels are read.  Eight overlapping heuristic labellers vote `good`, `bad`
 or nothing on every document.  Expectation-maximisation over the counts of all
 vote patterns (at most 3^8, whatever the corpus) estimates each labeller's
-votes given the hidden class, and with them the posterior of every pattern.
+votes given the hidden class - good, or one of several kinds of bad - and with
+them its accuracy and the posterior of every pattern.
 Posterior labels of a bounded sample (``SAMPLE`` documents of each side, the
 first by a hash of their id) train a logistic linear scorer on hashed features
 of the whole text: trigrams of byte classes and word shapes.  The scorer, not
@@ -34,6 +35,8 @@ SAMPLE = 2048
 WIDTH = 2048
 RIDGE = 3e-4
 KEEP = 0.3
+#: Texts of fewer words show too little: they are not learned from, and their score is the share of good texts.
+FEW = 5
 
 #: Byte classes of the trigrams: letters, digits and white space each as one, other ASCII as itself.
 _class = np.arange(256, dtype=np.uint32)
@@ -141,14 +144,30 @@ def features(t: Texts) -> np.ndarray:
 
 @dataclass
 class WeakLabels:
-    prior: float
-    """Share of good documents."""
+    """Class 0 is good; each other class is a kind of bad text, begun from the
+    texts in which one labeller's symptom comes with another's."""
+    share: np.ndarray
+    """Share of each class."""
     given: np.ndarray
-    """(labellers, 2 classes, 3 votes) probabilities; class 1 is good."""
+    """(labellers, classes, 3 votes) probabilities."""
+
+    @property
+    def prior(self) -> float:
+        return float(self.share[0])
+
+    def accuracy(self) -> np.ndarray:
+        """(labellers, 2): share of right votes among those on good and on bad texts."""
+        bad = (self.given[:, 1:] * self.share[1:, None]).sum(1) / max(1e-12, self.share[1:].sum())
+        return np.stack([self.given[:, 0, 2] / (1 - self.given[:, 0, 0]), bad[:, 1] / (1 - bad[:, 0])], 1)
+
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """(patterns, classes) posterior."""
+        log = np.log(self.share) + sum(np.log(self.given[j][:, patterns[:, j]]).T for j in range(patterns.shape[1]))
+        p = np.exp(log - log.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        log = np.log([1 - self.prior, self.prior]) + sum(np.log(self.given[j][:, patterns[:, j]]).T for j in range(patterns.shape[1]))
-        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
+        return self.classes(patterns)[:, 0]
 
 
 def digits(pattern: np.ndarray) -> np.ndarray:
@@ -156,15 +175,19 @@ def digits(pattern: np.ndarray) -> np.ndarray:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> WeakLabels:
-    """Expectation-maximisation.  It starts from any vote for bad being right:
-    the labellers name symptoms, and a text rarely shows more than a few."""
-    bad = (patterns == 1).sum(1)
-    p = np.array([0.95, 0.3])[np.minimum(bad, 1)] ** np.maximum(bad, 1)
+    """Expectation-maximisation.  It starts from two symptoms making a bad text
+    and one alone being a slip."""
+    symptom = patterns == 1
+    n = symptom.sum(1)
+    good = np.array([0.98, 0.9, 0.1])[np.minimum(n, 2)]
+    kinds = np.where(n[:, None] >= 2, symptom, True)
+    p = np.concatenate([good[:, None], (1 - good)[:, None] * kinds / kinds.sum(1, keepdims=True)], 1)
     for _ in range(rounds):
-        weight = np.stack([(1 - p) * counts, p * counts])
-        given = np.stack([np.stack([(weight * (patterns[:, j] == v)).sum(1) for v in range(3)], 1) for j in range(patterns.shape[1])]) + 0.5
-        model = WeakLabels(float(np.clip(weight[1].sum() / counts.sum(), 0.01, 0.99)), given / given.sum(2, keepdims=True))
-        before, p = p, model.posterior(patterns)
+        weight = (p * counts[:, None]).T
+        given = np.stack([np.stack([(weight * (patterns[:, j] == v)).sum(1) for v in range(3)], 1) for j in range(patterns.shape[1])]) + 0.1
+        share = np.maximum(weight.sum(1) / counts.sum(), 1e-6)
+        model = WeakLabels(share / share.sum(), given / given.sum(2, keepdims=True))
+        before, p = p, model.classes(patterns)
         if np.abs(p - before).max() < 1e-9:
             break
     return model
@@ -191,7 +214,7 @@ def _voted(docs: DataFrame) -> DataFrame:
             for part in words.chunks(batch, "text"):
                 t = read(part["text"])
                 pattern = votes(t) @ 3 ** np.arange(len(LABELLERS))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.where(np.diff(t.first) > 0, pattern, -1))], ["id", "pattern"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.where(np.diff(t.first) >= FEW, pattern, -1))], ["id", "pattern"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, pattern long")
 
@@ -243,6 +266,8 @@ def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     p = weak
     if model.scorer is not None:
         p = 1 / (1 + np.exp(-np.clip(features(t) @ model.scorer[:-1] + model.scorer[-1], -30, 30)))
+    few = np.diff(t.first) < FEW
+    weak, p = (np.where(few, model.labels.prior if model.labels else 0.5, x) for x in (weak, p))
     p = np.where(some, p, 0.0)
     return weak, p, (p >= KEEP) & some
 
