@@ -64,7 +64,10 @@ BODY_HIT = "## [Body Match] {title} ({lang})\n{snippet}\n"
 NO_SUMMARY = "No summary available."
 NOT_FOUND = "Article not found: {title}\nPlease try different keywords."
 INVALID_TITLE = "Article not found: Invalid title '{title}'"
+LENGTH_ERROR = "Error: Length '{length}' is not available. Available lengths: [{available}]"
 LANGUAGE_ERROR = "Error: Language '{lang}' is not available. Available languages: [{available}]"
+QUOTED = "'{variant}'"
+QUOTED_FROM = "'{variant}' (from query '{title}')"
 FOUND_NOTICE = "(Found article '{found}' based on your query '{title}')\n\n"
 REDIRECT_NOTICE = "(Redirected from '{from_display}' to '{to_title}')\n\n"
 OMITTED_TITLE = "\n\n## Omitted Headings"
@@ -73,3 +76,11 @@ READ_MORE = ("\n\nIf you want to read more, please use the `{tool}` tool with "
 # The tool name inside the read-more hint is a parameter of the renderer;
 # this is only the default.
 DEFAULT_TOOL_NAME = "search_articles"
+
+# --- fixed values: quoted titles in dump files -----------------------------
+# "mysql": backslash escapes and doubled quotes; "reference": doubled quotes
+# only (a backslash-quote ends the title early, as the original loader did).
+TITLE_BODY = {
+    "mysql": r"(?:[^'\\]++|\\.|'')*+",
+    "reference": r"[^']*(?:''[^']*)*",
+}

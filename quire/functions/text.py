@@ -7,6 +7,8 @@ uses the Unicode-aware regexes below.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fill(template: str, **values) -> Column:
+    """A response text as a Column: ``{name}`` in ``template`` is replaced by
+    the column (or column name) or literal given for it; a null makes it null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else col_of(values[x]) for i, x in enumerate(parts)])
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends."""
     return F.regexp_replace(col_of(c), _WS_EDGES, "")
@@ -38,9 +47,12 @@ def first_upper(c) -> Column:
 
 
 def capitalize(c) -> Column:
-    """``str.capitalize()``: first character upper, all others lower."""
+    """``str.capitalize()``: first character in title case (``ß`` gives
+    ``Ss``), all others lower."""
     c = col_of(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
+    first = F.upper(F.substring(c, 1, 1))
+    return F.concat(F.substring(first, 1, 1), F.lower(first.substr(F.lit(2), F.length(first))),
+                    F.lower(c.substr(F.lit(2), F.length(c))))
 
 
 def page_key(c) -> Column:

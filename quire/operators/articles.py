@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import fixed
-from quire.functions.text import is_cjk, text_units
+from quire.functions.text import fill, is_cjk, text_units
 
 BLOCK_SCHEMA = T.StructType([
     T.StructField("language_code", T.StringType()),
@@ -116,15 +116,26 @@ def blocks_of(text: str) -> list[tuple]:
 
 def _blocks_batches(batches):
     cols = [f.name for f in BLOCK_SCHEMA.fields]
-    for pdf in batches:
-        rows = []
-        for lang, pid, text in zip(pdf["language_code"], pdf["page_id"], pdf["text_body"]):
-            for b in blocks_of(text):
-                rows.append((lang, pid) + b)
+
+    def frame(rows):
         out = pd.DataFrame.from_records(rows, columns=cols)
         for c in ("block_no", "line_start", "level", "heading_no", "idx_in_heading"):
             out[c] = out[c].astype("Int32")
-        yield out
+        return out
+
+    for pdf in batches:
+        rows = []
+        for lang, pid, text in zip(pdf["language_code"], pdf["page_id"], pdf["text_body"]):
+            rows += [(lang, pid) + b for b in blocks_of(text)]
+            if len(rows) >= BLOCKS_HELD:
+                yield frame(rows)
+                rows = []
+        if rows:
+            yield frame(rows)
+
+
+#: Blocks that a Python worker holds before it hands them on.
+BLOCKS_HELD = 4000
 
 
 def article_blocks(documents: DataFrame) -> DataFrame:
@@ -196,9 +207,11 @@ def _selection(blocks: DataFrame, targets: DataFrame):
     # per enclosing heading (pos 0 or null marks its own row), a heading
     # yields one row for itself
     owners = F.when(is_para, F.col("ancestors")).otherwise(F.array(F.col("heading_no")))
+    # the text stays with a paragraph's first row; its other rows only count
     u = b.select(*doc, "kind", "line_start", "content", "level", "title", "heading_no", "units", "priority",
                  F.posexplode_outer(owners).alias("pos", "h"),
                  F.when(~is_para, F.col("units")).alias("h_units"))
+    u = u.withColumn("content", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("content")))
     by_heading = Window.partitionBy(*doc, "h")
     u = (u.withColumn("first_priority", F.min("priority").over(by_heading))
          .withColumn("heading_units", F.max("h_units").over(by_heading)))
@@ -243,21 +256,25 @@ def omitted_headings(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     return _parts(rows).filter(F.col("omitted").isNotNull()).select(*DOC, "omitted")
 
 
-def extract(blocks: DataFrame, targets: DataFrame, documents: DataFrame | None = None,
-            tool_name: str = fixed.DEFAULT_TOOL_NAME) -> DataFrame:
+def target_blocks(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """X1 for the documents that a target cuts: other texts are neither
+    parsed nor moved."""
+    wanted = targets.filter(F.col("length") != "full").select("language_code", "page_id").distinct()
+    return article_blocks(documents.join(wanted, ["language_code", "page_id"], "left_semi"))
+
+
+def extract(documents: DataFrame, targets: DataFrame, tool_name: str = fixed.DEFAULT_TOOL_NAME) -> DataFrame:
     """The text of each target cut to its length budget.
 
-    ``targets``: (language_code, page_id, length) with length in
-    very-short, short, medium; ``full`` rows are answered from
-    ``documents`` unchanged.  Returns (language_code, page_id, length,
-    article_text)."""
+    ``targets``: (language_code, page_id, length) with length one of
+    ``fixed.LENGTHS``; ``full`` rows are answered unchanged.  Returns
+    (language_code, page_id, length, article_text)."""
     doc = DOC
-    cut, rows = _selection(blocks, targets)
+    cut, rows = _selection(target_blocks(documents, targets), targets)
     out = cut.join(_parts(rows), doc, "left")
     text = F.coalesce(F.col("body"), F.lit(""))
     larger = F.when(F.col("length") == "short", F.lit("medium")).otherwise(F.lit("full"))
-    hint = F.concat(F.lit("\n\nIf you want to read more, please use the `"), F.lit(tool_name),
-                    F.lit("` tool with `length='"), larger, F.lit("'` to get a more detailed article.\n"))
+    hint = fill(fixed.READ_MORE, tool=F.lit(tool_name), larger=larger)
     tail = F.concat(
         F.when(F.col("omitted").isNotNull(),
                F.concat(F.lit(fixed.OMITTED_TITLE + "\n"), F.col("omitted"))).otherwise(F.lit("")),
@@ -265,9 +282,7 @@ def extract(blocks: DataFrame, targets: DataFrame, documents: DataFrame | None =
         .otherwise(F.lit("")))
     article = F.when(F.col("length") == "very-short", _plain_headings(text)).otherwise(F.concat(text, tail))
     result = out.select(*doc, article.alias("article_text"))
-    if documents is not None:
-        full = (targets.filter(F.col("length") == "full").select(*doc).distinct()
-                .join(documents.select("language_code", "page_id", F.col("text_body").alias("article_text")),
-                      ["language_code", "page_id"], "inner"))
-        result = result.unionByName(full)
-    return result
+    full = (targets.filter(F.col("length") == "full").select(*doc).distinct()
+            .join(documents.select("language_code", "page_id", F.col("text_body").alias("article_text")),
+                  ["language_code", "page_id"], "inner"))
+    return result.unionByName(full)

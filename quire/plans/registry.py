@@ -341,7 +341,7 @@ def _article_query(length: str):
         from quire.operators import articles
         a = fx.fx_articles(spark, sf_dir)
         targets = a.select("language_code", "page_id", F.lit(length).alias("length"))
-        out = articles.extract(articles.article_blocks(a), targets)
+        out = articles.extract(a, targets)
         return out.select("page_id", "language_code", "length", "article_text")
     fn.__name__ = "article_" + length.replace("-", "_")
     query("article_" + length.replace("-", "_"), sql + final, ints=("page_id",))(fn)
@@ -577,7 +577,7 @@ def search_rendered_q(spark, sf_dir):
     """The whole cascade with variants over every fixture request,
     rendered to response texts (rows-only; goldens in tests)."""
     from quire.operators import cascade
-    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize(("postings", "term_stats", "blocks", "title_grams"))
+    c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
     req = fx.fx_requests(c.documents).select("request_id", "title", "length", "languages")
     return cascade.render(cascade.search(req, c))
 

@@ -31,8 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
-        # Broadcast only what is provably small; every broadcast in the
-        # library is an explicit hint behind a size bound.
+        # Joins are broadcast by size in bytes, at run time (AQE).
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
@@ -88,25 +87,3 @@ def materialize(df, name: str):
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Request-side tables (one row per distinct query of a batch) are broadcast
-# so the large corpus side streams through every partition; above this many
-# rows they are joined by shuffle instead.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df, max_rows: int = MAX_BROADCAST_ROWS):
-    """``broadcast(df)`` when it has at most ``max_rows`` rows (checked with a
-    count), else ``df`` unchanged for a shuffle join."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(df, min_partitions: int | None = None):
-    """Repartition ``df`` only when its scan plans fewer partitions than the
-    cluster runs tasks (a small file with one row group reads as one
-    partition, and everything before the first shuffle would run on one
-    core).  Inputs that already split well are left alone -- no shuffle."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

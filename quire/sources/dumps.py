@@ -13,15 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Title body of a quoted SQL string.  "mysql": backslash escapes and doubled
-# quotes; "reference": doubled quotes only (a backslash-quote ends the title
-# early, as the original loader did).  Possessive quantifiers keep the JVM
-# from backtracking on long lines.
-TITLE_BODY = {
-    "mysql": r"(?:[^'\\]++|\\.|'')*+",
-    "reference": r"[^']*(?:''[^']*)*",
-}
-
+from quire.functions import fixed
 
 def _unescape(c: Column, escapes: str) -> Column:
     c = F.replace(c, F.lit("''"), F.lit("'"))
@@ -35,7 +27,7 @@ def insert_tuples(lines: DataFrame, table: str, escapes: str = "mysql", carry: t
     lines of ``table``; ``lines`` has a ``value`` column (``carry`` columns
     pass through)."""
     prefix = f"INSERT INTO `{table}` VALUES"
-    body = TITLE_BODY[escapes]
+    body = fixed.TITLE_BODY[escapes]
     pat = rf"\((\d+),(\d+),'({body})'"
     # bad UTF-8 bytes decode to U+FFFD; they are dropped
     v = F.replace(F.col("value"), F.lit("\ufffd"), F.lit(""))
