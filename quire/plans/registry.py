@@ -599,7 +599,7 @@ def dump_pages_scan_q(spark, sf_dir):
                         F.concat(F.lit("Talk_"), F.col("page_title")).alias("page_title"), "language_code")
     lines = dumps.dump_lines(pages.unionByName(talk), "page", "page_id", "page_namespace", "page_title")
     other = dumps.dump_lines(pages, "redirect", "page_id", "page_namespace", "page_title")
-    return dumps.parse_page_lines(lines.unionByName(other), F.col("language_code"))
+    return dumps.parse_page_lines(lines.unionByName(other), F.col("language_code")).drop("_order")
 
 
 @query("dump_redirects_scan", "SELECT from_page_id, to_title, language_code FROM fx_redirections")
@@ -637,6 +637,19 @@ def first_wins_load_q(spark, sf_dir):
     return out.select("page_id", "page_namespace", "page_title", "language_code")
 
 
+def _fixture_metadata(docs: DataFrame) -> DataFrame:
+    """Language metadata of the fixture corpus, as typed CSV text."""
+    from quire.sources.metadata import typed_metadata
+    redir = fx.fx_redirections(docs).groupBy("language_code").agg(F.count(F.lit(1)).alias("redirections"))
+    meta = (docs.groupBy("language_code").agg(F.count(F.lit(1)).alias("pages"),
+                                              F.sum(F.length("text_body")).alias("size_bytes"))
+            .join(redir, "language_code", "left"))
+    raw = meta.select(F.col("language_code").alias("subset"), *[F.col(c).cast("string").alias(c)
+                                                                for c in ("pages", "size_bytes", "redirections")],
+                      F.lit(0).alias("_order"))
+    return typed_metadata(raw)
+
+
 PLAN_LANGS = ["en", "fr", "de", "es", "ja"]
 
 
@@ -660,7 +673,8 @@ PLAN_LANGS = ["en", "fr", "de", "es", "ja"]
   LEFT JOIN fx_done d ON d.language_code = c.language_code AND d.dataset = ds.dataset
 )
 SELECT *,
-  coalesce(sum(CASE WHEN dataset = 'documents' AND status <> 'unavailable' THEN expected_rows END) OVER (PARTITION BY dataset), 0) AS total_items,
+  coalesce(sum(CASE WHEN dataset = 'documents' AND status <> 'unavailable' THEN expected_rows
+                    WHEN dataset = 'redirections' AND status = 'target' THEN expected_rows END) OVER (PARTITION BY dataset), 0) AS total_items,
   coalesce(sum(CASE WHEN dataset = 'documents' AND status = 'complete' THEN expected_rows END) OVER (PARTITION BY dataset), 0) AS already_processed
 FROM fx_plan
 """, ints=("lang_rank", "expected_rows", "total_items", "already_processed"))
@@ -670,16 +684,7 @@ def load_plan_q(spark, sf_dir):
     complete where a language has at least 120 documents, and the plan for
     five configured languages (one of them absent from the metadata)."""
     from quire.plans.load import load_plan
-    from quire.sources.metadata import typed_metadata
-    docs = fx.fx_documents(spark, sf_dir)
-    redir = fx.fx_redirections(docs).groupBy("language_code").agg(F.count(F.lit(1)).alias("redirections"))
-    meta = (docs.groupBy("language_code").agg(F.count(F.lit(1)).alias("pages"),
-                                              F.sum(F.length("text_body")).alias("size_bytes"))
-            .join(redir, "language_code", "left"))
-    raw = meta.select(F.col("language_code").alias("subset"), *[F.col(c).cast("string").alias(c)
-                                                                for c in ("pages", "size_bytes", "redirections")],
-                      F.lit(0).alias("_order"))
-    typed = typed_metadata(raw)
+    typed = _fixture_metadata(fx.fx_documents(spark, sf_dir))
     done = (typed.select(F.col("subset").alias("language_code"), F.lit("pages").alias("dataset"), F.lit(True).alias("is_complete"))
             .unionByName(typed.filter(F.col("pages__n") >= 120).select(
                 F.col("subset").alias("language_code"), F.lit("documents").alias("dataset"),
@@ -687,6 +692,78 @@ def load_plan_q(spark, sf_dir):
     return load_plan(PLAN_LANGS, typed, done)
 
 
+@query("load_corpus_run", """
+, fx_stored AS (
+  SELECT 'pages' AS dataset, language_code, page_id AS id, page_title AS value FROM fx_pages
+  UNION ALL SELECT 'documents', language_code, page_id, title FROM fx_documents
+  UNION ALL SELECT 'redirections', language_code, from_page_id, to_title FROM fx_redirections
+)
+SELECT * FROM fx_stored
+UNION ALL SELECT 'flag ' || dataset, language_code, count(*), 'true' FROM fx_stored GROUP BY dataset, language_code
+""")
+def load_corpus_run_q(spark, sf_dir):
+    """The whole load of the fixture corpus from sources that
+    hold every key twice (the second copy renamed), begun on a store where
+    the documents' own pages already lie without a flag (a half-finished
+    load), then run again: the second run finds every language flagged."""
+    from quire.plans.load import load_corpus, load_dataset, load_plan, read_manifest
+    from quire.session import shared_dir
+    docs = fx.fx_documents(spark, sf_dir)
+    pages, redirections = fx.fx_pages(docs), fx.fx_redirections(docs)
+    tables = {"pages": (pages, "page_id", "page_title"), "documents": (docs, "page_id", "title"),
+              "redirections": (redirections, "from_page_id", "to_title")}
+    out = shared_dir(spark, "corpus")
+
+    def source(dataset, lang):
+        df, key, value = tables[dataset]
+        df = df.filter(F.col("language_code") == lang)
+        if dataset == "redirections":
+            return df
+        again = df.withColumn(value, F.concat(F.lit("Dup "), value))
+        return df.withColumn("_order", F.lit(0)).unionByName(again.withColumn("_order", F.lit(1)))
+
+    sources = {(d, x): source(d, x) for d in tables for x in fx.LANGUAGES}
+    half = pages.filter((F.col("language_code") == "en") & (F.col("page_id") < fx.ALIAS_OFFSET))
+    load_dataset(spark, "pages", half.withColumn("_order", F.lit(0)), out, "en")
+    for _ in range(2):
+        plan = load_plan(fx.LANGUAGES, _fixture_metadata(docs), read_manifest(spark, out))
+        flags = load_corpus(spark, plan, sources, out)
+    parts = [spark.read.parquet(f"{out}/{d}").select(F.lit(d).alias("dataset"), "language_code",
+                                                     F.col(key).alias("id"), F.col(value).alias("value"))
+             for d, (_, key, value) in tables.items()]
+    parts.append(flags.select(F.concat(F.lit("flag "), "dataset").alias("dataset"), "language_code",
+                              F.col("n_rows").alias("id"), F.col("is_complete").cast("string").alias("value")))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query("or_terms_match", r"""
+, fx_oq AS (
+  SELECT page_id AS request_id, language_code, list_distinct(list_filter([
+           lower(string_split(title, ' ')[1]), lower(string_split(title, ' ')[3])], lambda x: x IS NOT NULL AND regexp_full_match(x, '[\p{L}\p{N}]+'))) AS w
+  FROM fx_documents
+), fx_dt AS (
+  SELECT page_id, language_code, title, """ + _TOK.format(c="title") + r""" AS tt FROM fx_documents
+), fx_hit AS (
+  SELECT q.request_id, d.page_id, row_number() OVER (PARTITION BY q.request_id ORDER BY d.page_id) AS rn
+  FROM fx_oq q JOIN fx_dt d ON d.language_code = q.language_code WHERE len(q.w) > 0 AND list_has_any(d.tt, q.w)
+)
+SELECT request_id, page_id FROM fx_hit WHERE rn <= 20
+""")
+def or_terms_match_q(spark, sf_dir):
+    """T2 with OR: the first and the third word of every title (where they
+    are plain words) as alternatives."""
+    from quire.operators import textsearch
+    c, _ = _single_k(spark, sf_dir)
+    w = F.filter(F.array(F.get(F.split("title", " "), F.lit(0)), F.get(F.split("title", " "), F.lit(2))),
+                 lambda x: x.isNotNull() & x.rlike(r"\A[\p{L}\p{N}]+\z"))
+    k = c.documents.select(F.col("page_id").alias("request_id"), F.lit(0).alias("variant_rank"),
+                           F.lit(0).alias("lang_rank"), F.array_join(w, " OR ").alias("variant"), "language_code")
+    return _top(textsearch.title_matches(k, c, 20), ["page_id"]).select("request_id", "page_id")
+
+
 @query("random_article_seeded", r"""
 SELECT title, text_body FROM (
   SELECT * FROM fx_documents WHERE language_code IN ('en', 'fr')
@@ -713,7 +790,7 @@ def _as_fx_documents(df):
                      title.alias("title"), F.col("text").alias("text_body"))
 
 
-@query("resume_load_stream")
+@query("resume_load_stream", "SELECT page_id, language_code, title, text_body FROM fx_documents")
 def resume_load_stream_q(spark, sf_dir):
     """The documents file streamed into a language-partitioned table
     with first-wins batches, run twice on one checkpoint: the second run
@@ -739,4 +816,4 @@ def request_stream_search_q(spark, sf_dir):
         "request_id", "title", "length", "languages")
     sink, ckpt = shared_dir(spark, "stream-answers"), shared_dir(spark, "stream-answers-ckpt")
     search_stream(spark, reqs, c, sink, ckpt).awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("request_id", "status", "response")

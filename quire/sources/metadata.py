@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+COUNTS = ("pages", "redirections")
+
+
 def typed_metadata(raw: DataFrame, key: str = "subset") -> DataFrame:
     """Digit-only values become BIGINT, others stay strings; a later row
-    for the same key replaces an earlier one (``_order`` gives file order)."""
+    for the same key replaces an earlier one (``_order`` gives file order);
+    a missing count column reads as 0."""
+    for c in COUNTS:  # a file without a count column counts nothing
+        if c not in raw.columns:
+            raw = raw.withColumn(c, F.lit("0"))
     cols = [c for c in raw.columns if c != "_order"]
     typed = []
     for c in cols:
