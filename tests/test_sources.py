@@ -31,3 +31,55 @@ def test_redirect_dump_scan_keeps_all_namespaces(spark, tmp_path):
     path = _write(tmp_path, "xx-redirect.sql.gz", lines)
     got = sorted((r.from_page_id, r.to_title) for r in read_redirect_dump(spark, path, "xx").collect())
     assert got == [(7, "Target"), (8, "Category_thing")]
+
+
+def test_first_copy_of_a_dump_wins(spark, tmp_path):
+    from quire.plans.load import load_dataset
+    lines = ["INSERT INTO `page` VALUES " + ",".join(f"({i},0,'First_{i}',0)" for i in range(k, k + 20)) + ";" for k in range(0, 200, 20)]
+    again = ["INSERT INTO `page` VALUES " + ",".join(f"({i},0,'Second_{i}',0),({i},0,'Third_{i}',0)" for i in range(200)) + ";"]
+    src = read_page_dump(spark, _write(tmp_path, "xx-page.sql.gz", lines + again), "xx")
+    out = str(tmp_path / "out")
+    assert load_dataset(spark, "pages", src, out, "xx") == (200, 200)
+    assert load_dataset(spark, "pages", src, out, "xx") == (200, 200)
+    got = {r.page_id: r.page_title for r in spark.read.parquet(f"{out}/pages").collect()}
+    assert got == {i: f"First_{i}" for i in range(200)}
+
+
+def test_truncated_load_is_not_flagged(spark, tmp_path):
+    import pytest
+    from quire.plans.load import load_corpus, load_plan, read_manifest
+    from quire.sources.articles import read_articles
+    from quire.sources.metadata import read_language_metadata
+    meta = tmp_path / "meta.csv"
+    meta.write_text("subset,pages\nxx,500\nyy,2\n")
+    out = str(tmp_path / "out")
+    typed = read_language_metadata(spark, str(meta))
+    plan = load_plan(["xx", "yy"], typed, read_manifest(spark, out))
+    assert {(r.language_code, r.dataset, r.expected_rows) for r in plan.collect() if r.dataset == "redirections"} == {
+        ("xx", "redirections", 0), ("yy", "redirections", 0)}
+    spark.createDataFrame([(1, "One", "text")], "page_id long, title string, text string").write.parquet(str(tmp_path / "xx"))
+    spark.createDataFrame([(1, "One", "a"), (2, "Two", "b"), (1, "Again", "c")], "page_id long, title string, text string").coalesce(1).write.parquet(str(tmp_path / "yy"))
+    sources = {("documents", x): read_articles(spark, str(tmp_path / x), x) for x in ("xx", "yy")}
+    flags = {(r.language_code, r.dataset, r.n_rows) for r in load_corpus(spark, plan, sources, out).collect()}
+    assert flags == {("yy", "documents", 2)}
+    assert {r.title for r in spark.read.parquet(f"{out}/documents").where("language_code = 'yy'").collect()} == {"One", "Two"}
+    again = load_plan(["xx", "yy"], typed, read_manifest(spark, out))
+    assert {(r.language_code, r.status) for r in again.collect() if r.dataset == "documents"} == {("xx", "target"), ("yy", "complete")}
+    (tmp_path / "broken" / "_manifest").mkdir(parents=True)
+    (tmp_path / "broken" / "_manifest" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        read_manifest(spark, str(tmp_path / "broken")).collect()
+
+
+def test_stored_tables_prune_languages_and_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quire.plans.load import load_dataset, stored
+    out = str(tmp_path / "out")
+    for lang in ("xx", "yy"):
+        rows = spark.range(100).select(F.col("id").alias("page_id"), F.lit(0).alias("page_namespace"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("page_title"),
+                                       F.lit(lang).alias("language_code"), F.col("id").alias("_order"))
+        load_dataset(spark, "pages", rows, out, lang)
+    df = stored(spark, f"{out}/pages", "xx").filter(F.col("page_title") == "T5")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(language_code" in plan and "EqualTo(page_title,T5)" in plan
+    assert df.count() == 1
