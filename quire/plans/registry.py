@@ -17,6 +17,7 @@ from quire.functions.requests import key_table, languages_table
 from quire.operators import lookup
 from quire.plans import fixtures as fx
 from quire.plans.fixtures import FIXTURE_SQL
+from quire.plans.search_oracle import SEARCH_SQL, VARIANTS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -364,9 +365,9 @@ def omitted_headings_q(spark, sf_dir):
 
 # --- V1, E5-E6 -------------------------------------------------------------------
 
-@query("query_variants")
+@query("query_variants", VARIANTS_SQL + "SELECT request_id, variant_rank, variant FROM fx_variants", ints=("variant_rank",))
 def query_variants_q(spark, sf_dir):
-    """V1 over every fixture request (rows-only; goldens in tests)."""
+    """V1 over every fixture request."""
     from quire.functions.variants import query_variants
     req = fx.fx_requests(fx.fx_documents(spark, sf_dir))
     v = req.select("request_id", query_variants("title", F.lit(False)).alias("v"))
@@ -572,10 +573,10 @@ def capped_hits_q(spark, sf_dir):
     return hits.select("request_id", "rank", "stage", "page_id", "title", "from_title", "to_title")
 
 
-@query("search_rendered")
+@query("search_rendered", SEARCH_SQL)
 def search_rendered_q(spark, sf_dir):
     """The whole cascade with variants over every fixture request,
-    rendered to response texts (rows-only; goldens in tests)."""
+    rendered to response texts."""
     from quire.operators import cascade
     c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
     req = fx.fx_requests(c.documents).select("request_id", "title", "length", "languages")
@@ -794,7 +795,7 @@ def _as_fx_documents(df):
 def resume_load_stream_q(spark, sf_dir):
     """The documents file streamed into a language-partitioned table
     with first-wins batches, run twice on one checkpoint: the second run
-    resumes and adds nothing (rows-only)."""
+    resumes and adds nothing."""
     from quire.session import shared_dir
     from quire.streaming.loads import load_stream
     target, ckpt = shared_dir(spark, "stream-docs"), shared_dir(spark, "stream-docs-ckpt")
@@ -804,11 +805,10 @@ def resume_load_stream_q(spark, sf_dir):
     return spark.read.parquet(target).select("page_id", "language_code", "title", "text_body")
 
 
-@query("request_stream_search")
+@query("request_stream_search", SEARCH_SQL)
 def request_stream_search_q(spark, sf_dir):
     """Fixture requests derived from the streamed documents, answered
-    per micro-batch by the cascade against the materialised corpus
-    (rows-only; one response per request)."""
+    per micro-batch by the cascade against the corpus and its indexes."""
     from quire.session import shared_dir
     from quire.streaming.requests import search_stream
     c = fx.corpus(spark, sf_dir, with_indexes=False).materialize()
