@@ -740,6 +740,24 @@ def load_corpus_run_q(spark, sf_dir):
     return result
 
 
+@query("search_stored", SEARCH_SQL)
+def search_stored_q(spark, sf_dir):
+    """The whole search over a corpus that was loaded into language
+    partitions, with its stored indexes (S12)."""
+    from quire.operators import cascade
+    from quire.plans.load import build_indexes, load_dataset, open_corpus
+    from quire.session import shared_dir
+    docs = fx.fx_documents(spark, sf_dir)
+    out = shared_dir(spark, "stored-corpus")
+    tables = {"pages": fx.fx_pages(docs), "documents": docs, "redirections": fx.fx_redirections(docs)}
+    for dataset, df in tables.items():
+        for lang in fx.LANGUAGES:
+            load_dataset(spark, dataset, df.filter(F.col("language_code") == lang).withColumn("_order", F.lit(0)), out, lang)
+    build_indexes(spark, out, fx.LANGUAGES)
+    req = fx.fx_requests(docs).select("request_id", "title", "length", "languages")
+    return cascade.render(cascade.search(req, open_corpus(spark, out, list(fx.LANGUAGES))))
+
+
 @query("or_terms_match", r"""
 , fx_oq AS (
   SELECT page_id AS request_id, language_code, list_distinct(list_filter([

@@ -83,3 +83,25 @@ def test_stored_tables_prune_languages_and_keys(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(language_code" in plan and "EqualTo(page_title,T5)" in plan
     assert df.count() == 1
+
+
+def test_indexes_are_built_by_language_and_read_pruned(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+    from quire.plans.load import build_indexes, load_dataset, open_corpus
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError):
+        build_indexes(spark, out, ["xx"])
+    for lang in ("xx", "yy"):
+        one = F.lit(0).alias("_order")
+        load_dataset(spark, "pages", spark.range(3).select(F.col("id").alias("page_id"), F.lit(0).alias("page_namespace"), F.lit("Title").alias("page_title"), F.lit(lang).alias("language_code"), one), out, lang)
+        load_dataset(spark, "documents", spark.range(3).select(F.col("id").alias("page_id"), F.lit("Title").alias("title"), F.lit(f"body of {lang}").alias("text_body"), F.lit(lang).alias("language_code"), one), out, lang)
+        load_dataset(spark, "redirections", spark.range(2).select(F.col("id").alias("from_page_id"), F.lit("Title").alias("to_title"), F.lit(lang).alias("language_code")), out, lang)
+        build_indexes(spark, out, [lang])  # the other language's partitions stay
+    c = open_corpus(spark, out, ["xx", "yy"])
+    got = {(r.language_code, r.term, r.n) for r in c.postings.filter("field = 'body'").groupBy("language_code", "term").agg(F.count("*").alias("n")).collect()}
+    assert got == {(x, t, 3) for x in ("xx", "yy") for t in ("body", "of", x)}
+    assert {(r.language_code, r.gram) for r in c.title_grams.collect()} >= {("xx", "tit"), ("yy", "e")}
+    plan = c.postings.filter((F.col("field") == "body") & (F.col("language_code") == "xx") & (F.col("term") == "of"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(field" in plan or "PartitionFilters: [isnotnull(language_code" in plan
+    assert "EqualTo(term,of)" in plan
