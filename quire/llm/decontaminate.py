@@ -115,7 +115,7 @@ def _member(keys: np.ndarray, term: np.ndarray, at: np.ndarray, slack: int) -> n
     return (i < len(keys)) & (found <= (term << 32) + at + slack) & (at + slack >= 0)
 
 
-def match(segment: dict, query: np.ndarray, size: np.ndarray, distinct: np.ndarray, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def match(segment: dict, query: np.ndarray, distinct: np.ndarray, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(window, start, exact) of all matches in one segment.  ``query`` holds
     the windows' terms as indexes into ``distinct`` (ascending hashes), -1 where
     a window is shorter."""
@@ -188,7 +188,7 @@ def _hits(index: DataFrame, block: list, slack: int) -> DataFrame:
                 total = int(first[-1])
                 cover = np.zeros(total + 1, np.int64)
                 pairs, near_pairs = [], []
-                for w, start, exact in match(segment, query, size, distinct, slack):
+                for w, start, exact in match(segment, query, distinct, slack):
                     doc = np.searchsorted(first, np.maximum(start, 0), "right") - 1
                     whole = (start >= 0) & (start + size[w] <= first[np.minimum(doc + 1, len(first) - 1)])
                     # A proximity match may begin before the text does; it counts where its middle lies.

@@ -34,7 +34,7 @@ SAMPLE = 2048
 #: Columns of the hashed features.
 WIDTH = 2048
 RIDGE = 3e-4
-KEEP = 0.3
+KEEP = 0.4
 #: Texts of fewer words show too little: they are not learned from, and their score is the share of good texts.
 FEW = 5
 
