@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spans = members.select("h", "class").join(found.withColumnRenamed("id", "class"), "class", "left").select("h", "class", F.coalesce("component", "class").alias("component"))
     spans = materialize(spans, "spans")
-    open_buckets = spans.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    open_buckets = materialize(spans.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h"), "open")
     open_ids = spans.join(open_buckets, "h", "left_semi").select("class", "component").distinct()
     more = materialize(_confirmed(_early_pairs(sets.join(open_ids, "class"), percent), sets, percent), "more")
     found = components(links.union(more))
