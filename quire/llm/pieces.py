@@ -325,7 +325,10 @@ def encode(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(m.words, hashes)
     offset, take = m.place[:, i[word]]
     run = np.cumsum(take)
-    ids = m.pool[np.repeat(offset - (run - take), take) + np.arange(run[-1])]
+    at_pool = np.repeat(offset - (run - take), take)
+    at_pool += np.arange(run[-1])
+    ids = m.pool[at_pool]
+    del at_pool
     first = np.concatenate([[0], run])[np.searchsorted(start, at)]
     if (ids < 0).any():  # byte pieces
         point = np.where(ids < 0, -1 - ids.astype(np.int64), 0)
@@ -346,7 +349,10 @@ def decode(m: Model, ids: np.ndarray, first: np.ndarray) -> list[str]:
     begin = np.cumsum(size) - size
     take = size[ids]
     run = np.concatenate([[0], np.cumsum(take)])
-    data = blob[np.repeat(begin[ids], take) + np.arange(run[-1]) - np.repeat(run[:-1], take)].tobytes()
+    at = np.repeat(begin[ids] - run[:-1], take)
+    at += np.arange(run[-1])
+    data = blob[at].tobytes()
+    del at
     return [data[i:j].decode("utf-8", "replace")[1 if data[i:i + 1] == b" " else 0:] for i, j in zip(run[first[:-1]], run[first[1:]], strict=True)]
 
 

@@ -72,6 +72,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield batch.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()  # buffers of earlier batches go back to the system
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
