@@ -12,7 +12,8 @@ numbered from 1; repeated rows are turns of their own.  A null conversation id
 is a conversation like any other.  A null role renders as `unknown`, a null
 text as the empty string, and both differ from those strings when compared.
 Copies and prefixes are collapsed in aggregates before any join, so a third of
-all conversations being copies of one moves one row per map task.  Empty input:
+all conversations being copies of one moves one row per map task.  A rendered
+conversation is one value, so its own turns meet in one task.  Empty input:
 empty result.  Other columns of the input are not read.
 """
 
