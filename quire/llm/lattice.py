@@ -22,7 +22,8 @@ The share of pairs at the threshold itself that meet in a cell is above 0.9999
 Defined cases: a null label or id, a null, empty or zero vector, null or
 non-finite components: linked with nothing, n_links 0, component_id the own
 id, kept true (null id: null and false).  Vectors of different lengths are not
-compared.  Repeated rows are vectors of their own.  Other columns are not read.
+compared.  Labels that are no integers are compared by a 64-bit hash.  Repeated
+rows are vectors of their own.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -240,7 +241,9 @@ def _link_counts(members: DataFrame, cosine: float) -> DataFrame:
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE,
                  tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
     """One row (id_col, n_links, component_id, kept) per row of ``table``."""
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
+    whole = table.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     valid = rows.where(usable)

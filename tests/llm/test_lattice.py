@@ -94,3 +94,9 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     rows = [(i, at_cosine(rng, base, 0.97), 0) for i in range(100)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_vectors(table(spark, rows)).collect()}
     assert got == expected(rows)
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
