@@ -172,9 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.where("class is not null").select("class", "n")
     first = sig.where("n > 0").select(F.col("id").alias("class"), "n", "bands").join(named, ["class", "n"], "left_semi").dropDuplicates(["class", "n"])
     rows = first.select("class", F.col("n").cast("int").alias("n"), F.explode("bands").alias("h"))
-    # Written, so that the join below reads plain shuffles: those of a hot bucket can be split.
     buckets = rows.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("class", "n")).alias("least")).where("members > 1")
-    buckets = materialize(buckets, "buckets")
     members = materialize(rows.join(buckets.select("h", F.col("least.class").alias("a"), F.col("least.n").alias("m")), "h"), "members")
 
     ids = members.select("class").distinct()
