@@ -8,7 +8,8 @@ them its accuracy and the posterior of every pattern.
 Posterior labels of a bounded sample (``SAMPLE`` documents of each side, the
 first by a hash of their id) train a logistic linear scorer on hashed features
 of the whole text: trigrams of byte classes and word shapes.  The scorer, not
-the votes, decides.
+the votes, decides; only of texts too short to show anything (``FROM_CHARS``)
+the share of good texts does.
 
 Defined cases: a null text or one without words has score 0 and is rejected;
 repeated rows get a row each; a null id is like any other.  With no documents
@@ -35,8 +36,12 @@ SAMPLE = 2048
 WIDTH = 2048
 RIDGE = 3e-4
 KEEP = 0.4
-#: Texts of fewer words show too little: they are not learned from, and their score is the share of good texts.
+#: Texts of fewer units show too little to learn from.  A unit is a word; a run without white space of more than RUN bytes is cut into units of UNIT bytes.
 FEW = 5
+RUN, UNIT = 48, 6
+#: A text of fewer than FEW units has the share of good texts as score up to the first number of characters (white space not
+#: counted) and the scorer's from the second on; in between its log odds go from the one to the other.
+FROM_CHARS, FULL_CHARS = 6, 32
 
 #: Byte classes of the trigrams: letters, digits and white space each as one, other ASCII as itself.
 _class = np.arange(256, dtype=np.uint32)
@@ -67,18 +72,36 @@ class Texts:
     """Words equal to the word before in the text."""
     distinct: np.ndarray
     """Number of distinct words of each text."""
+    cut: np.ndarray
+    """Where units begin within a run without white space."""
+
+
+def _units(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, with those of more than RUN bytes cut into units."""
+    parts = np.where(end - start > RUN, -(-(end - start) // UNIT), 1)
+    if (parts == 1).all():
+        return start, end
+    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    cut, last = np.repeat(start, parts) + inner * UNIT, np.repeat(end, parts)
+    return cut, np.where(np.repeat(parts, parts) > 1, np.minimum(cut + UNIT, last), last)
+
+
+def characters(t: Texts) -> np.ndarray:
+    """Characters of each text that are not white space."""
+    return _sums(words.NOT_SPACE[t.data] & ((t.data & 0xC0) != 0x80), t.at)
 
 
 def read(column: pa.Array) -> Texts:
     data, at = words.text_bytes(column)
-    start, end = words.word_spans(data, at, words.NOT_SPACE)
+    start, end = _units(*words.word_spans(data, at, words.NOT_SPACE))
     first = np.searchsorted(start, at)
     h = words.span_hashes(data, start, end)
     again = np.zeros(len(h), bool)
     again[1:] = h[1:] == h[:-1]
     again[first[:-1][first[:-1] < len(h)]] = False
     distinct = np.array([len(np.unique(h[i:j])) for i, j in zip(first[:-1], first[1:], strict=True)], np.int64)
-    return Texts(data, at, start, end, first, again, distinct)
+    inside = start[1:][start[1:] == end[:-1]]
+    return Texts(data, at, start, end, first, again, distinct, inside[~np.isin(inside, at)])
 
 
 def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -128,7 +151,11 @@ def features(t: Texts) -> np.ndarray:
     out = np.zeros((n, WIDTH), np.float32)
     for i in range(n):
         for lo in range(int(t.at[i]), int(t.at[i + 1]), words.PIECE_BYTES):
-            c = _class[t.data[lo:min(lo + words.PIECE_BYTES + 2, int(t.at[i + 1]))]]
+            hi = min(lo + words.PIECE_BYTES + 2, int(t.at[i + 1]))
+            c = _class[t.data[lo:hi]]
+            within = t.cut[slice(*np.searchsorted(t.cut, (lo + 1, hi)))]
+            if len(within):  # units read like words
+                c = np.insert(c, within - lo, _class[32])
             gram = (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
             out[i] += np.bincount((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - WIDTH.bit_length() + 1), minlength=WIDTH)
         # Word shapes, as often as there are words: length, last class, equal to the word before.
@@ -258,6 +285,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(labels, train_scorer(x, labels.posterior(digits(np.array([r["pattern"] for r in rows])))))
 
 
+def _log_odds(p):
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p / (1 - p))
+
+
 def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of the votes, score, kept) of every text."""
     t = read(column)
@@ -266,8 +298,14 @@ def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     p = weak
     if model.scorer is not None:
         p = 1 / (1 + np.exp(-np.clip(features(t) @ model.scorer[:-1] + model.scorer[-1], -30, 30)))
-    few = np.diff(t.first) < FEW
-    weak, p = (np.where(few, model.labels.prior if model.labels else 0.5, x) for x in (weak, p))
+    few, prior = np.diff(t.first) < FEW, model.labels.prior if model.labels else 0.5
+    weak = np.where(few, prior, weak)
+    if model.scorer is None:
+        p = weak
+    else:
+        trust = np.where(few, np.clip((characters(t) - FROM_CHARS) / (FULL_CHARS - FROM_CHARS), 0, 1), 1)
+        odds = _log_odds(prior) + trust * (_log_odds(p) - _log_odds(prior))
+        p = np.where(trust < 1, 1 / (1 + np.exp(-odds)), p)
     p = np.where(some, p, 0.0)
     return weak, p, (p >= KEEP) & some
 
