@@ -14,6 +14,11 @@ the model's size.  Only documents whose crc32(id as text) mod 3 is not 1 and
 whose text and language are not null are learned from; predictions read texts
 only.
 
+The filter does not use the scores, which always sum to nearly the same and so
+cannot reject: a text is in none of the languages if the learned texts of its
+best language contain too few of its n-grams.  The limit comes from the learned
+texts, each held against the others.
+
 Defined cases: a null text or one without a letter is `und` with score 0, as is
 everything if there is nothing to learn from.  Equal scores: the first language
 in order of name.  A null id counts as not held out and is not learned from;
@@ -27,7 +32,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +45,8 @@ RIDGE = 1e-3
 #: Texts of one matrix product.
 ROWS = 256
 UNKNOWN = "und"
-#: Least score of a document that the filter keeps; the model is undecided at 0.5, short texts of a language stay above this.
-LEAST = 0.25
+#: The filter's limit: this share of the coverage that all but ``QUANTILE`` of the learned texts reach.
+SLACK, QUANTILE = 0.75, 0.01
 
 _letter = np.zeros(256, np.uint32)
 _letter[97:123] = _letter[65:91] = np.arange(1, 27)
@@ -69,6 +73,10 @@ def unit_rows(p: np.ndarray) -> np.ndarray:
     return p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))  # 0/1 entries: the sum is the squared length
 
 
+def _coverage(p: np.ndarray, known: np.ndarray, label: np.ndarray) -> np.ndarray:
+    return (p @ known.astype(np.float32))[np.arange(len(p)), label] / np.maximum(p.sum(1), 1)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -76,6 +84,14 @@ class Model:
     """(columns, landmarks): normalised presence."""
     weights: np.ndarray
     """(landmarks, languages)."""
+    grams: np.ndarray
+    """(columns, languages): learned texts of the language that contain the n-gram, 2 standing for more."""
+    least: float
+    """Coverage below which a text is in none of the languages."""
+
+    def covered(self, p: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Share of each text's n-grams that learned texts of its language contain."""
+        return _coverage(p, self.grams > 0, best)
 
     def scores(self, p: np.ndarray) -> np.ndarray:
         return (unit_rows(p) @ self.landmarks) @ self.weights
@@ -94,7 +110,10 @@ def fit(p: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge:
     features = unit @ z.T @ root
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     inner = features.T @ features + ridge * len(p) * np.eye(features.shape[1])
-    return Model(names, z.T.astype(np.float32), (root @ np.linalg.solve(inner, features.T @ target)).astype(np.float32))
+    grams = np.stack([np.minimum(p[label == i].sum(0), 2) for i in range(len(names))], 1).astype(np.uint8)
+    # An n-gram of a learned text counts as covered if another text of its language contains it.
+    least = SLACK * float(np.quantile(_coverage(p, grams > 1, label), QUANTILE))
+    return Model(names, z.T.astype(np.float32), (root @ np.linalg.solve(inner, features.T @ target)).astype(np.float32), grams, least)
 
 
 def held_out(id_col: str):
@@ -155,10 +174,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col)
 
 
-def keep_known(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a learned language with a score of ``least`` or
-    more, all columns as they are; with nothing to learn from, every row with a
-    letter."""
+def keep_known(docs: DataFrame, least: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in a learned language, all columns as they are: the
+    best language's learned texts contain ``least`` (or the model's limit) of
+    the text's n-grams.  With nothing to learn from, every row with a letter."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,10 +186,11 @@ def keep_known(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", te
             for chunk in words.chunks(batch, text_col):
                 for i in range(0, chunk.num_rows, ROWS):
                     part = chunk.slice(i, ROWS)
-                    lettered = pc.is_valid(part[text_col])
                     if sent.value is None:
-                        yield part.filter(lettered)
+                        yield part
                     else:
-                        yield part.filter(pa.array(recognise(sent.value, part[text_col], lettered)[1] >= least))
+                        p = presence(part[text_col])
+                        covered = sent.value.covered(p, sent.value.scores(p).argmax(1))
+                        yield part.filter(pa.array(covered >= (sent.value.least if least is None else least)))
 
     return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -6,8 +6,8 @@ import random
 import pytest
 from llm_cases import prose
 
-from quire.llm import quality
-from test_models import spoilt
+from quire.llm import language, quality
+from test_models import TONGUES, spoilt, spoken
 
 
 def test_quality_judges_unspaced_and_short_texts(docs):
@@ -18,3 +18,17 @@ def test_quality_judges_unspaced_and_short_texts(docs):
     rows += [(2000 + k, t) for k, t in enumerate(junk)] + [(3000 + k, t) for k, t in enumerate(clean)]
     kept = {x["doc_id"] for x in quality.keep_good(docs(rows)).collect() if x["doc_id"] >= 2000}
     assert kept == {3000 + k for k in range(len(clean))}
+
+
+FOREIGN = ["Это документ на русском языке, который никто не учил, и он довольно длинный.", "αυτό είναι ένα κείμενο στα ελληνικά που κανείς δεν έμαθε ποτέ",
+           "to jest tekst w języku polskim którego nikt się nie uczył i jest dość długi", "这是一个中文文本，没有人学习过它。" * 5, "x" * 3000]
+
+
+@pytest.mark.parametrize("tongues", [4, 2, 1])
+def test_texts_of_unlearned_languages_go(docs, tongues):
+    some = [x for x in spoken(600) if x[2] in list(TONGUES)[:tongues]]
+    short = [(5000, "the people", None), (5001, "that house", None), (5002, "with water", None)]
+    noise = random.Random(2)
+    junk = [*FOREIGN, "".join(noise.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400))]
+    kept = {x["doc_id"] for x in language.keep_known(docs(some + short + [(9000 + k, t) for k, t in enumerate(junk)])).collect()}
+    assert kept == {x[0] for x in some + short}
