@@ -3,8 +3,8 @@ near-dedup, benchmark decontamination, SentencePiece encoding and decoding.
 
 Every stage gets what its predecessor kept, written as Parquet and reread; all
 but the last return the columns of `documents`.  Null or empty texts go in the
-first stage (no words, no quality).  A document id that repeats keeps one row
-in the near-duplicate stage; rows without an id stay.  An empty table stays
+first stage (no words, no quality).  Null and repeated ids are
+no exception: the later stages tell rows apart by a number of their own.  An empty table stays
 empty throughout.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, language, minhash, pieces, quality
-from quire.llm.tables import table
+from quire.llm.tables import ROW, numbered, table
 from quire.session import materialize
 
 
@@ -32,17 +32,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest doc_id."""
-    found = minhash.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept")
-    marks = materialize(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "marks")
-    once = docs.join(marks.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(marks.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).select(docs.columns)
+    rows = numbered(docs)
+    found = minhash.groups(rows.select(ROW, F.col("doc_id").cast("long").alias("id"), "text"))
+    return rows.join(materialize(found.where("not kept").select(ROW), "copies"), ROW, "left_anti").select(docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(materialize(found.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return rows.join(materialize(found.where("n_hit > 0").select(ROW), "leaks"), ROW, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ full sets.
 What is compared, without pairs of a whole group ever being made:
 
 1. Texts with equal sets are one class (set hash of 128 bits), represented by
-   its smallest id.  Groups of copies of any size end here.
+   its first row: the one with the smallest id, null ids last.  Groups of copies of any size end here.
 2. Each band bucket compares its members with its smallest member only: a
    number of pairs linear in the bucket.  Confirmed links give components.
 3. Members of a bucket that still spans several components are joined exactly:
@@ -23,10 +23,10 @@ At the threshold 0.85 a pair shares none of the 24 bands of 5 rows with
 probability (1 - 0.85^5)^24 < 1e-6.
 
 Defined cases: null or empty text, or text without words: empty set, linked
-with nothing.  Repeated rows and ties: each row gets the component of its own
-set; a component is named by its smallest id.  Null id: the row is compared
-like any other, its component is the smallest id of its group and null if the
-group has none; ``kept`` is then false, and true if the text links with nothing.
+with nothing.  Rows are told apart by a number of their own, so null and
+repeated ids are compared like any other: each row gets the component of its
+own set, which is named by the smallest id of the group (null if it has none),
+and ``kept`` is true for one row of each group, its first.
 Other columns of the input are not read.  Empty input: empty result.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.tables import components
+from quire.llm.tables import ROW, components, numbered
 from quire.session import materialize
 
 SHINGLE = 5
@@ -103,11 +103,11 @@ def _signed(sig: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     b[full] = np.add.reduceat(words.mix64(s ^ np.uint64(0xA5A5A5A55A5A5A5A)), at[full])
                 h = _band_hashes(signatures(s, at, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    [part[ROW], part["id"], pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
                      pa.ListArray.from_arrays(np.arange(0, h.size + 1, bands, dtype=np.int32), pa.array(h.ravel().view(np.int64)))],
-                    ["id", "n", "a", "b", "bands"])
+                    [ROW, "id", "n", "a", "b", "bands"])
 
-    return sig.mapInArrow(run, "id long, n long, a long, b long, bands array<long>")
+    return sig.mapInArrow(run, f"{ROW} long, id long, n long, a long, b long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -165,18 +165,26 @@ def _early_pairs(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
                     bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row (id_col, n_shingles, component_id, kept) per row of ``docs``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return groups(docs, size, percent, bands, band_rows).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """One row (ROW, id, n_shingles, component_id, kept) per row of ``docs``
+    (ROW, id, text)."""
+    docs = docs.select(ROW, "id", "text")
     sig = materialize(_signed(docs, size, bands, band_rows), "signatures")
-    # A class is named by its smallest id, or by its set hash where no member has one.
-    classes = materialize(sig.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "classes")
-    named = classes.where("class is not null").select("class", "n")
-    first = sig.where("n > 0").select(F.col("id").alias("class"), "n", "bands").join(named, ["class", "n"], "left_semi").dropDuplicates(["class", "n"])
+    # A class is named by the number of its first row.
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", ROW)
+    classes = sig.where("n > 0").groupBy("a", "b", "n").agg(F.min(order).alias("first"))
+    classes = materialize(classes.select("a", "b", "n", F.col(f"first.{ROW}").alias("class"), "first"), "classes")
+    first = sig.select(F.col(ROW).alias("class"), "n", "bands").join(classes.select("class"), "class", "left_semi")
     rows = first.select("class", F.col("n").cast("int").alias("n"), F.explode("bands").alias("h"))
     buckets = rows.groupBy("h").agg(F.count("*").alias("members"), F.min(F.struct("class", "n")).alias("least")).where("members > 1")
     members = materialize(rows.join(buckets.select("h", F.col("least.class").alias("a"), F.col("least.n").alias("m")), "h"), "members")
 
     ids = members.select("class").distinct()
-    sets = materialize(_sets_of(docs.withColumnRenamed("id", "class").join(ids, "class", "left_semi"), size), "sets")
+    sets = materialize(_sets_of(docs.select(F.col(ROW).alias("class"), "text").join(ids, "class", "left_semi"), size), "sets")
     stars = members.where((F.col("a") != F.col("class")) & _sizes_fit("n", "m", percent)).select("a", F.col("class").alias("b")).distinct()
     links = materialize(_confirmed(stars, sets, percent), "links")
     found = components(links)
@@ -188,8 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = materialize(_confirmed(_early_pairs(sets.join(open_ids, "class"), percent), sets, percent), "more")
     found = components(links.union(more))
 
-    classes = classes.join(found.withColumnRenamed("id", "class"), "class", "left").select("a", "b", "n", "copies", F.coalesce("component", "class").alias("component"))
-    out = sig.select("id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
-    alone = F.col("copies").isNull() | ((F.col("copies") == 1) & F.col("component").isNull())
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-                      F.when(F.col("id").isNull(), alone).otherwise(F.coalesce("component", "id") == F.col("id")).alias("kept"))
+    linked = found.select(F.col("id").alias("class"), "component")
+    tops = materialize(classes.join(linked, "class").groupBy("component").agg(F.min("first").alias("top")), "tops")
+    classes = classes.join(linked.join(tops, "component").select("class", "top"), "class", "left").select("a", "b", "n", F.coalesce("top", "first").alias("top"))
+    out = sig.select(ROW, "id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
+    return out.select(ROW, "id", F.col("n").alias("n_shingles"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("component_id"),
+                      F.coalesce(F.col(f"top.{ROW}") == F.col(ROW), F.lit(True)).alias("kept"))

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A number of each row, whatever its id.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``ROW`` that no two rows share, written so that it stays."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected links (a, b): one row (id,
     component) per linked id, component being the smallest id reachable.

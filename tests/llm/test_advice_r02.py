@@ -3,10 +3,12 @@
 import base64
 import random
 
+import corpus_pipeline
 import pytest
 from llm_cases import prose
 
-from quire.llm import language, quality
+from quire.llm import language, minhash, quality
+from test_minhash import edited
 from test_models import TONGUES, spoilt, spoken
 
 
@@ -32,3 +34,17 @@ def test_texts_of_unlearned_languages_go(docs, tongues):
     junk = [*FOREIGN, "".join(noise.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400))]
     kept = {x["doc_id"] for x in language.keep_known(docs(some + short + [(9000 + k, t) for k, t in enumerate(junk)])).collect()}
     assert kept == {x[0] for x in some + short}
+
+
+def test_null_and_repeated_ids_take_part(spark, docs, tmp_path):
+    bench = [(0, prose(25, 9000))]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    a, b, c, d, e, leak = prose(200, 1), prose(200, 2), prose(200, 3), prose(200, 4), prose(200, 5), prose(40, 6) + " " + bench[0][1] + " " + prose(10, 7)
+    rows = [(None, a), (None, a), (None, a), (None, edited(a, 1, 1)), (None, b), (5, b), (7, c), (7, d), (7, c), (8, edited(d, 1, 2)), (9, leak), (None, leak + " x"), (9, e)]
+    found = sorted((str(x["component_id"]), x["kept"]) for x in minhash.near_duplicates(docs(rows)).collect())
+    assert found == sorted([("None", True)] + 3 * [("None", False)] + [("5", True), ("5", False)] + [("7", True)] * 2 + [("7", False)] * 2 + [("9", True)] * 2 + [("9", False)])
+    left = corpus_pipeline.near_dedup(spark, docs(rows), str(tmp_path))
+    got = [(x["doc_id"], x["text"]) for x in left.collect()]
+    assert len(got) == 6 and {(5, b), (7, c), (7, d), (9, leak), (9, e)} <= set(got) and {i for i, _ in got} == {None, 5, 7, 9}
+    clean = corpus_pipeline.clean_of_benchmarks(spark, docs(rows), str(tmp_path))
+    assert sorted(x["text"] for x in clean.collect()) == sorted(t for _, t in rows if not t.startswith(leak))
