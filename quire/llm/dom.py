@@ -1,9 +1,11 @@
 """A page's block structure: a small, forgiving HTML reader (operator 10).
 
-Elements that only mark up a line (links, emphasis, spans without a class) are
-part of the block around them; every other element is a node of a tree.  A node
+Elements that only mark up a line (links, emphasis, spans, formulas) are part of
+the block around them, unless their names are those of a page's boilerplate;
+every other element is a node of a tree.  A node
 owns runs of text, in page order; a run ends where a child block begins.  Raw
-elements (scripts, styles) and comments have no text.  Unclosed elements end as
+elements (scripts, styles) and comments have no text; what else a page may hide
+(noscript, object, canvas, svg) is left to the model.  Unclosed elements end as
 browsers end them: a paragraph where a block begins, a list item at the next,
 everything at the end of the page.
 """
@@ -14,12 +16,23 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
+from quire.llm.labelled import PARTS
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea select".split())
+RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
 RAW_END = {name: re.compile(rf"</{name}\s*[^>]*(?:>|\Z)", re.I) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements in which `/>` ends an element, and their parts that hold HTML again.
+FOREIGN = frozenset({"svg", "math"})
+HTML_AGAIN = frozenset({"foreignobject", "annotation-xml"})
+FOREIGN_START = re.compile(r"<(?:svg|math)\b", re.I)
+#: Elements of running text, names of boilerplate, and those of them that hold within running text too.
+SAYS = frozenset("p li dd dt h1 h2 h3 h4 h5 h6 td th blockquote pre figcaption caption".split())
+BOILERPLATE = frozenset(w for part in PARTS.values() for w in part.split())
+ALWAYS = frozenset("ad ads advert advertisement adsense dfp affiliate sponsor sponsored sponsorship promo promotion share sharing social cookie cookies consent newsletter subscribe subscription "
+                   "breadcrumb breadcrumbs pagination pager skip navbar navigation nav menu disqus popup modal byline meta".split())
 #: What a beginning element ends, and the elements that shield from that.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
@@ -82,6 +95,7 @@ def read_page(html: str) -> Page:
             if stack[depth][0] in shield:
                 return
 
+    foreign = FOREIGN_START.search(html) is not None
     at = 0
     while at < len(html):
         found = TOKEN.search(html, at)
@@ -108,6 +122,13 @@ def read_page(html: str) -> Page:
                 if name in INLINE and stack[depth][0] not in INLINE:
                     break  # an inline end tag does not close blocks
             continue
+        within = next((x for x, _ in reversed(stack) if x in FOREIGN or x in HTML_AGAIN), None) if foreign else None
+        if name in BREAKS_P and within in FOREIGN:
+            while any(x in FOREIGN for x, _ in stack) and within in FOREIGN:
+                close(max(i for i, (x, _) in enumerate(stack) if x in FOREIGN))
+                within = next((x for x, _ in reversed(stack) if x in FOREIGN or x in HTML_AGAIN), None)
+        if (name in FOREIGN or within in FOREIGN) and attributes.rstrip().endswith("/"):
+            continue
         if name in BREAKS_P:
             close_open({"p"}, {"button", "table", "td", "th"})
         if name in ENDS:
@@ -122,7 +143,9 @@ def read_page(html: str) -> Page:
             at = end.end() if end else len(html)
             text.append(" ")
             continue
-        if name in INLINE and (name == "a" or not names):
+        marked = "data-main" in said or not ALWAYS.isdisjoint(names) or not (
+            BOILERPLATE.isdisjoint(names) or page.tag[stack[-1][1]] in SAYS or any(x.strip() for x in text))
+        if name == "math" or within == "math" or name in INLINE and (name == "a" or not marked):
             if name == "a":
                 links += 1
             stack.append((name, stack[-1][1]))

@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from llm_cases import prose
 
-from quire.llm import language, minhash, quality
+from quire.llm import dom, extract, language, minhash, quality
 from test_minhash import edited
 from test_models import TONGUES, spoilt, spoken
 
@@ -48,3 +48,23 @@ def test_null_and_repeated_ids_take_part(spark, docs, tmp_path):
     assert len(got) == 6 and {(5, b), (7, c), (7, d), (9, leak), (9, e)} <= set(got) and {i for i, _ in got} == {None, 5, 7, 9}
     clean = corpus_pipeline.clean_of_benchmarks(spark, docs(rows), str(tmp_path))
     assert sorted(x["text"] for x in clean.collect()) == sorted(t for _, t in rows if not t.startswith(leak))
+
+
+FIRST, LAST = "First paragraph of the article, with some words in it to read.", "Second paragraph goes on for a while, so that readers have something."
+
+
+@pytest.mark.parametrize("between", ["<svg class='icon'/>", "<math/>", "<p><svg viewBox='0 0 1 1'><path d='M0 0'/></svg></p>", "<svg><path d='M0'>", "<object data=x>", "<canvas>", "<select>", "<template>", "<noscript>"])
+def test_what_stands_between_paragraphs_loses_none(between):
+    page = dom.read_page(f"<html><body><article><h1>Big news</h1><p>{FIRST}</p>{between}<p>{LAST}</p></article></body></html>")
+    assert extract.main_texts([page], extract.default_model()) == [f"Big news\n{FIRST}\n{LAST}"]
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = dom.read_page("<article><h1>Big news</h1><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is <span class=x>one</span> <em id=y>long</em> <b class='title'>line</b> of words.</p>"
+                         f"<noscript><p>{FIRST}</p></noscript><object><p>{LAST}</p></object><canvas><p>{FIRST}</p></canvas><script>var x = '<p>no</p>'</script></article>")
+    assert extract.main_texts([page], extract.default_model()) == [f"Big news\nThe sum x+y is one long line of words.\n{FIRST}\n{LAST}\n{FIRST}"]
+
+
+def test_named_spans_of_boilerplate_stay_apart():
+    page = dom.read_page(f"<article><p>{FIRST} <span class='advert'>Buy now!</span></p><span class='share tools'>Share this</span><p>{LAST}</p></article>")
+    assert [said for _, said in page.runs] == [FIRST, "Buy now!", "Share this", LAST]
