@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, extract, language, lattice, minhash, pieces, quality, sharding, tokencount
+from quire.llm import chat, decontaminate, extract, language, lattice, minhash, pieces, quality, sharding, tokencount, urlfilter
 from quire.llm.tables import table
 
 
@@ -52,7 +52,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction, op11_url_filter)}
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": """
@@ -64,4 +68,20 @@ c AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n)
 k AS (SELECT * FROM c WHERE prefix NOT IN (SELECT prefix FROM p WHERE pos < n))
 SELECT k.conv_id, k.n_turns, k.n_copies, string_agg(r.said, '' ORDER BY r.pos) AS rendered
 FROM k JOIN r ON k.conv_id = r.conv_id GROUP BY k.conv_id, k.n_turns, k.n_copies""",
+    # Absolute targets in plain quoting; tests/llm covers all other spellings.
+    "op11_url_filter": """
+WITH RECURSIVE r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+l AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?is)<link[^>]*rel=["'']?canonical["'']?[^>]*>')) AS tag FROM pages
+      UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*>')) FROM pages),
+e AS (SELECT DISTINCT split_part(source, '#', 1) AS x, split_part(regexp_extract(tag, '(?i)https?://[^"''>\s]+'), '#', 1) AS y FROM l WHERE source LIKE '%://%' AND tag LIKE '%://%'),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+c AS (SELECT x AS node, x AS alias FROM b UNION SELECT c.node, b.y FROM c JOIN b ON c.alias = b.x),
+u AS (SELECT alias AS url FROM c UNION SELECT url FROM pages),
+h AS (SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+j AS (SELECT h.url, h.host, h.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+      FROM h LEFT JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY h.url, h.host, h.path),
+d AS (SELECT c.node, bool_or(j.verdict = 'block') AND NOT coalesce(bool_or(j.verdict = 'allow'), false) AS blocked FROM c JOIN j ON c.alias = j.url GROUP BY c.node)
+SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN d.blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p JOIN j ON p.url IS NOT DISTINCT FROM j.url LEFT JOIN d ON split_part(p.url, '#', 1) = d.node""",
 }

@@ -1,0 +1,119 @@
+"""URL filters against a plain-Python judge with union-find."""
+
+import random
+
+import pytest
+
+from quire.llm import urlfilter
+
+
+def plain_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    return host, path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+
+
+def plain_rule(url, rules):
+    host, path = plain_parts(url)
+    fits = [(len(h + p), v == "allow", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[2:] if fits else (None, None)
+
+
+def plain_judge(pages, edges, rules=urlfilter.RULES):
+    """pages: (id, url); edges: (url, url) already absolute, without fragments."""
+    top = {}
+
+    def root(x):
+        top.setdefault(x, x)
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        top[root(a)] = root(b)
+    groups = {}
+    for x in list(top):
+        groups.setdefault(root(x), set()).add(plain_rule(x, rules)[1])
+    out = []
+    for i, url in pages:
+        rule, verdict = plain_rule(url, rules)
+        if verdict is None:
+            said = groups.get(root(url.split("#")[0]), set()) if url and url.split("#")[0] in top else set()
+            verdict = "block" if "block" in said and "allow" not in said else "allow"
+        out.append((i, *plain_parts(url), rule, verdict))
+    return sorted(out, key=repr)
+
+
+PAGES = "page_id long, url string, html string, host string, path string, node string, id long, rule string, verdict string, u string, component long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "x", "x", 7, "x", "x", "x", 7) for r in rows], PAGES)
+
+
+def judged(df):
+    return sorted([tuple(r) for r in df.collect()], key=repr)
+
+
+def test_rules(spark):
+    urls = ["http://a.com/x", "http://a.com", "http://a.com?x=/", "https://EXAMPLE.com/en/1", "http://sub.example.com/en/", "http://www.example.com/en/2", "http://x.www.example.com/en/3",
+            "http://badexample.com/en/", "http://x.net/es/1", "http://x.net/ES/1", "http://x.net/fr/?q#f", "http://x.net/en/", "http://x.org/y", None, "", "no url", "mailto:a@b.com/", "://com/es/", "ftp://net/es/://com/",
+            "http://x.com:80/en/", "http://È.COM/É", "http://y.org/" + "z" * 100000, "http://com./"]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, "http://x.net/es/1")]
+    assert judged(urlfilter.judge(frame(spark, [(i, u, None) for i, u in rows]))) == plain_judge(rows, [])
+
+
+def test_targets():
+    url = "http://a.org/b/c?d"
+    html = """<!doctype html><!-- <link rel=canonical href=/no> --><script>"<link rel=canonical href=/no>"</script><title><link rel=canonical href=/no></title>
+      <LINK HREF='x' rel="Canonical nofollow"><link rel=icon href=/no><meta http-equiv=Refresh content="0; URL='/r?a=1&amp;b=2'"><meta http-equiv=refresh content=5>
+      <base href="//other.org/q/"><link data-x=">" rel=canonical href=y/><link rel=canonical href="http://[broken"><link rel=canonical href><link rel=canonical href="https://z.org/#f">"""
+    assert urlfilter.page_targets(url, html) == ["http://a.org/b/x", "http://a.org/r?a=1&b=2", "http://other.org/q/y/", "https://z.org/#f"]
+    assert urlfilter.page_targets(url, "<link rel=canonical href='/open") == []
+    assert urlfilter.page_targets(url, "<link " * 20000 + "canonical") == []
+
+
+def canonical(target):
+    return f"<html><head><link rel='canonical' href='{target}'></head><body>x</body></html>"
+
+
+def test_aliases(spark):
+    blocked, allowed = "http://x.net/es/1", "http://ok.com/1"
+    rows = [(1, "http://a.org/1", canonical(blocked)), (2, "http://a.org/2#frag", canonical("/1")), (3, "http://a.org/2", None), (4, "http://b.org/1", canonical(allowed)),
+            (5, "http://b.org/2", "<meta http-equiv=refresh content='0;url=http://b.org/1'>"), (6, "http://b.org/2", canonical("http://y.net/fr/")), (7, "http://c.com/1", canonical(blocked + "#top")),
+            (8, "http://d.org/", canonical("http://d.org")), (9, "http://d.org/free", ""), (10, None, canonical(blocked)), (11, "http://e.org/log", None), (None, "HTTP://A.org/1", None)]
+    found = {r["page_id"]: r["verdict"] for r in urlfilter.judge(frame(spark, rows)).collect()}
+    # 7 is allowed by its own rule and, being an explicitly allowed alias of the blocked address, its component with it.
+    assert found == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "allow", None: "allow"}
+    rows = [r for r in rows if r[0] != 7]
+    logged = spark.createDataFrame([("http://e.org/log", "http://a.org/2"), (None, "http://a.org/2"), ("http://d.org/free", None)], "source string, target string")
+    found = {r["page_id"]: r["verdict"] for r in urlfilter.judge(frame(spark, rows), redirects=logged).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "block", None: "block"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_graphs(spark, seed):
+    r = random.Random(seed)
+    hosts = ("a.org", "b.org", "x.net", "www.example.com", "c.com")
+    urls = {h: [f"http://{h}/{p}{i}" for p in ("en/", "es/", "fr/") for i in range(25)] for h in hosts}
+    rows, edges = [], []
+    for i in range(260):
+        host = r.choice(hosts)
+        url = r.choice(urls[host])
+        # Pages of a.org and x.net share a hub; those of b.org meet allowed and blocked ones.
+        target = r.choice(["http://hub.org/1", *urls["a.org"]]) if host in ("a.org", "x.net") else r.choice(urls["b.org"])
+        linked = r.random() < 0.6
+        rows.append((i, url, canonical(target) if linked else "canonical"))
+        edges += [(url, target)] if linked else []
+    found = judged(urlfilter.judge(frame(spark, rows)))
+    want = plain_judge([x[:2] for x in rows], edges)
+    assert found == want
+    assert {v for *_, rule, v in want if rule is None} == {"allow", "block"}
+
+
+def test_empty(spark):
+    assert judged(urlfilter.judge(frame(spark, []))) == []
