@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, extract, language, lattice, minhash, pieces, quality, sharding, tokencount, urlfilter
+from quire.llm import chat, collocations, decontaminate, extract, language, lattice, minhash, pieces, quality, sharding, tokencount, urlfilter
 from quire.llm.tables import table
 
 
@@ -56,7 +56,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction, op11_url_filter)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction, op11_url_filter, op12_collocations)}
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": """
@@ -84,4 +88,19 @@ j AS (SELECT h.url, h.host, h.path, arg_max(r.host || r.path, length(r.host || r
 d AS (SELECT c.node, bool_or(j.verdict = 'block') AND NOT coalesce(bool_or(j.verdict = 'allow'), false) AS blocked FROM c JOIN j ON c.alias = j.url GROUP BY c.node)
 SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN d.blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages p JOIN j ON p.url IS NOT DISTINCT FROM j.url LEFT JOIN d ON split_part(p.url, '#', 1) = d.node""",
+    "op12_collocations": """
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT doc, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k AS size, unnest(list_transform(range(1, greatest(1, len(words) - k + 2)), lambda i: words[i:i + k - 1])) AS g FROM w, range(1, 4) r(k)),
+c AS (SELECT lang, size, g, count(*) AS f FROM g GROUP BY lang, size, g),
+cut AS (SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, k, ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM c JOIN range(1, 3) n(k) ON k < c.size JOIN c x ON x.lang = c.lang AND x.g = c.g[:k] JOIN c y ON y.lang = c.lang AND y.g = c.g[k + 1:]
+        WHERE c.size >= 2 AND c.f >= 10),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, a, g[1:2] AS g FROM s WHERE len(g) = 3 UNION ALL SELECT lang, a, g[2:3] FROM s WHERE len(g) = 3) GROUP BY lang, g),
+kept AS (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, s.l, s.r, s.score FROM s LEFT JOIN longer o ON o.lang = s.lang AND o.g = s.g WHERE coalesce(100 * o.a < 50 * s.a, true))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
+FROM kept k JOIN t ON t.lang = k.lang QUALIFY rank <= 2000""",
 }

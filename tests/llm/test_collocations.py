@@ -1,0 +1,102 @@
+"""Collocation mining against plain counting of all phrases."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+from llm_cases import EDGES, prose
+from pyspark.sql import functions as F
+
+from quire.llm import collocations
+
+
+def plain(docs, top=2000, least=10, share=50):
+    counts = {}
+    for text, lang in docs:
+        c = counts.setdefault("und" if lang is None else lang, [Counter(), Counter(), Counter(), Counter()])
+        text = "".join(x.lower() if "A" <= x <= "Z" else x for x in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for n in (1, 2, 3):
+                for i in range(len(w) - n + 1):
+                    c[n][tuple(w[i:i + n])] += 1
+    out = []
+    for lang, c in counts.items():
+        found = {}
+        for n in (2, 3):
+            for p, a in c[n].items():
+                if a >= least:
+                    cuts = [(10**6 * a * a // (c[k][p[:k]] * c[n - k][p[k:]]), k) for k in range(1, n)]
+                    s, k = min(cuts)
+                    found[p] = (s, a, c[k][p[:k]], c[n - k][p[k:]])
+        gone = {x for p, (s, a, _, _) in found.items() if len(p) == 3 for x in (p[:2], p[1:]) if 100 * a >= share * c[2][x]}
+        kept = sorted((-s, -a, " ".join(p).encode(), x, y) for p, (s, a, x, y) in found.items() if p not in gone)
+        out += [(lang, i + 1, p.decode(), -a, x, y, sum(c[1].values()), -s) for i, (s, a, p, x, y) in enumerate(kept[:top])]
+    return sorted(out)
+
+
+def mined(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def texts(seed, n=700):
+    """Texts over few words with fixed phrases, breaks and odd spacing, in three languages."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Ünï", "日本", "x\x00y", "A", "B-C", "naïve word"]
+    fixed = ["New York City", "ping pong", "w1 w2 w3", "a a a a"]
+    out = []
+    for _ in range(n):
+        said = []
+        for _ in range(r.randint(1, 60)):
+            said.append(r.choice(fixed) if r.random() < 0.2 else vocabulary[min(int(r.expovariate(0.12)), len(vocabulary) - 1)])
+            said.append(r.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "?!"]))
+        out.append(("".join(said), r.choice(["en", "en", "de", None, "und"])))
+    return out
+
+
+@pytest.mark.parametrize("top", [2000, 7])
+def test_all_phrases(docs, top):
+    rows = texts(top)
+    found = mined(collocations.mine(docs([(i, *t) for i, t in enumerate(rows)]), top=top))
+    want = plain(rows, top=top)
+    assert found == want
+    assert len(want) >= 21 and any(len(x[2].split(" ")) == 3 for x in want)
+
+
+def test_lower_levels(docs, monkeypatch):
+    """Pairs dropped by longer phrases force several rounds; ties at the last rank are settled by a and phrase."""
+    monkeypatch.setattr(collocations, "FIRST", 1)
+    monkeypatch.setattr(collocations, "WIDER", 2)
+    rows = [(" . ".join(f"p{i} q{i} r{i}" for i in range(40)), "en")] * 12 + texts(3, 300)
+    passes = []
+    grown = collocations._triples
+    monkeypatch.setattr(collocations, "_triples", lambda *a: passes.append(1) or grown(*a))
+    assert mined(collocations.mine(docs([(i, *t) for i, t in enumerate(rows)]), top=60)) == plain(rows, top=60)
+    assert len(passes) > 1
+
+
+def test_edges(docs):
+    rows = [(t, lang) for _, t in EDGES for lang in ("en", None)] * 6 + [(prose(4000, 5), "en")]
+    assert mined(collocations.mine(docs([(i, *t) for i, t in enumerate(rows)]))) == plain(rows)
+    assert mined(collocations.mine(docs([]))) == []
+    assert mined(collocations.mine(docs([(1, None), (2, ""), (3, "one two")]))) == []
+
+
+def test_large_counts(spark):
+    """Products beyond 64 bits."""
+    rows = [(10**13, 10**13 + 7, 2 * 10**13), (3_037_000_500, 3_037_000_501, 3_037_000_502), (10, 10, 10), (10, 10**13, 10**13)]
+    df = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", collocations.score(F.col("a"), F.col("l"), F.col("r")).alias("s"))
+    assert [(r["a"], r["s"]) for r in df.collect()] == [(a, 10**6 * a * a // (x * y)) for a, x, y in rows]
+    assert dict(df.dtypes)["s"] == "bigint"
+
+
+def test_only_the_frontier_is_counted(docs):
+    """Prefixes below the level are not extended: of many phrases only the bound ones get counted."""
+    rows = [(" ".join(["x", f"y{i % 40}", f"z{i % 7}", "."]), "en") for i in range(2000)] + [("ab cd ef", "en")] * 12
+    df = docs([(i, *t) for i, t in enumerate(rows)]).select("lang", "text")
+    counts = collocations._counted(df, 1, ()).where("f >= 10 AND w1 IS NOT NULL")
+    pairs = collocations._pairs(df, counts, 2)
+    level = lambda x: df.sparkSession.createDataFrame([("en", x)], "lang string, level long")
+    high, low = ({tuple(r) for r in collocations._triples(df, pairs, level(x), 2).select("w1", "w2", "w3").collect()} for x in (500_000, 0))
+    assert high == {("ab", "cd", "ef")} and len(low) > 100
