@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, collocations, decontaminate, extract, language, lattice, minhash, pieces, quality, sharding, tokencount, urlfilter
+from quire.llm import chat, collocations, decontaminate, extract, language, lattice, minhash, negatives, pieces, quality, sharding, tokencount, urlfilter
 from quire.llm.tables import table
 
 
@@ -60,7 +60,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction, op11_url_filter, op12_collocations)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_dedup, op2_sentencepiece, op3_decontamination, op4_chat_formatting, op5_quality_classifier, op6_token_counts, op7_sharding, op8_language_id, op9_minhash_dedup, op10_html_extraction, op11_url_filter, op12_collocations, op13_hard_negatives)}
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": """
@@ -77,7 +81,7 @@ FROM k JOIN r ON k.conv_id = r.conv_id GROUP BY k.conv_id, k.n_turns, k.n_copies
 WITH RECURSIVE r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 l AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?is)<link[^>]*rel=["'']?canonical["'']?[^>]*>')) AS tag FROM pages
       UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta[^>]*http-equiv=["'']?refresh["'']?[^>]*>')) FROM pages),
-e AS (SELECT DISTINCT split_part(source, '#', 1) AS x, split_part(regexp_extract(tag, '(?i)https?://[^"''>\s]+'), '#', 1) AS y FROM l WHERE source LIKE '%://%' AND tag LIKE '%://%'),
+e AS (SELECT DISTINCT split_part(source, '#', 1) AS x, split_part(regexp_extract(tag, '(?i)https?://[^"''>\\s]+'), '#', 1) AS y FROM l WHERE source LIKE '%://%' AND tag LIKE '%://%'),
 b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 c AS (SELECT x AS node, x AS alias FROM b UNION SELECT c.node, b.y FROM c JOIN b ON c.alias = b.x),
 u AS (SELECT alias AS url FROM c UNION SELECT url FROM pages),
@@ -95,12 +99,20 @@ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lamb
 t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, k AS size, unnest(list_transform(range(1, greatest(1, len(words) - k + 2)), lambda i: words[i:i + k - 1])) AS g FROM w, range(1, 4) r(k)),
 c AS (SELECT lang, size, g, count(*) AS f FROM g GROUP BY lang, size, g),
-cut AS (SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, k, ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
-        FROM c JOIN range(1, 3) n(k) ON k < c.size JOIN c x ON x.lang = c.lang AND x.g = c.g[:k] JOIN c y ON y.lang = c.lang AND y.g = c.g[k + 1:]
-        WHERE c.size >= 2 AND c.f >= 10),
+h AS (SELECT lang, g, f, k, g[:k] AS head, g[k + 1:] AS tail FROM c, range(1, 3) n(k) WHERE size > k AND f >= 10),
+cut AS (SELECT h.lang, h.g, h.f AS a, x.f AS l, y.f AS r, k, ((1000000::HUGEINT * h.f * h.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM h JOIN c x ON x.lang = h.lang AND x.g = h.head JOIN c y ON y.lang = h.lang AND y.g = h.tail),
 s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
 longer AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, a, g[1:2] AS g FROM s WHERE len(g) = 3 UNION ALL SELECT lang, a, g[2:3] FROM s WHERE len(g) = 3) GROUP BY lang, g),
 kept AS (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, s.l, s.r, s.score FROM s LEFT JOIN longer o ON o.lang = s.lang AND o.g = s.g WHERE coalesce(100 * o.a < 50 * s.a, true))
 SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
 FROM kept k JOIN t ON t.lang = k.lang QUALIFY rank <= 2000""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.n AS anchor, a.id AS anchor_id, b.n, b.id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.n <> b.n),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+h AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 3""",
 }
