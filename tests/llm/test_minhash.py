@@ -99,3 +99,40 @@ def test_circulant_signatures_estimate_jaccard():
     sets = [np.sort(np.concatenate([common, o])) for o in own]
     sig = minhash.signatures(np.concatenate(sets), np.array([0, 850, 1700]), 1024)
     assert abs((sig[0] == sig[1]).mean() - 0.7) < 0.06
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_copies_of_a_large_group_meet_in_proportion(spark, docs, monkeypatch, seed):
+    """Variants of one text, two edits each, hardly any of them linked: what is
+    compared must grow with the group, whatever row is the first."""
+    made = []
+    against, meetings, confirmed = minhash._against_hubs, minhash._meetings, minhash._confirmed
+    monkeypatch.setattr(minhash, "_against_hubs", lambda stars, *a: (made.append(stars.count()), against(stars, *a))[1])
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *a: (made.append(pairs.count()), confirmed(pairs, *a))[1])
+
+    def counted(*a):
+        found = meetings(*a)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "_meetings", counted)
+    base, totals = prose(130, 77), []
+    for n in (400, 800, 1600):
+        rows = [(i, edited(base, 2, 1000 + i)) for i in range(n)]
+        random.Random(seed).shuffle(rows)
+        rows = [(i, t) for i, (_, t) in enumerate(rows)]
+        made.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()}
+        if n == 400:
+            assert got == expected(rows)
+        totals.append(sum(made))
+    assert totals[1] <= 2.5 * totals[0] and totals[2] <= 2.5 * totals[1], totals
+
+
+def test_blocks_of_members(spark, docs, monkeypatch):
+    """Small blocks give the same groups."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = prose(130, 78)
+    rows = [(i, edited(base, 2 + i % 3, 5000 + i)) for i in range(150)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert got == expected(rows)
