@@ -197,8 +197,15 @@ def _meetings(families: DataFrame, percent: int, block: int) -> DataFrame:
     each = each.withColumns({"room": F.col("later") - F.col("rank") + 1, "most": F.expr(f"({100 - percent} * n) div {percent}")})
     keyed = each.where(F.col("room") >= F.greatest(F.lit(1), F.col("size") - F.col("most")))
     # The member with fewer differences must share one of even fewer.
-    early = (2 * F.col("room") >= F.greatest(F.lit(2), 2 * F.col("size") - F.col("most"))).cast("int")
-    keyed = materialize(keyed.select("a", "s", "b", "component", early.alias("early")), "keyed")
+    early = 2 * F.col("room") >= F.greatest(F.lit(2), 2 * F.col("size") - F.col("most"))
+    keyed = materialize(keyed.select("a", "s", "b", "component", "n", "size", "room", early.alias("early")), "keyed")
+    # What stays can share enough with some member of the key, by the sizes that there are.
+    fewest = keyed.groupBy("a", "s").agg(F.min(F.when(F.col("early"), F.col("size"))).alias("least"), F.max(F.when(F.col("early"), F.col("n"))).alias("early_n"), F.max("n").alias("most_n"))
+    keyed = keyed.join(fewest.where("least IS NOT NULL"), ["a", "s"])
+    parts = 100 + percent
+    late = 2 * parts * F.col("room") >= parts * (F.col("least") + F.col("size")) - (100 - percent) * (F.col("n") + F.col("early_n"))
+    early = F.col("early") & (2 * parts * F.col("room") >= 2 * parts * F.col("size") - (100 - percent) * (F.col("n") + F.col("most_n")))
+    keyed = materialize(keyed.select("a", "s", "b", "component", early.cast("int").alias("early"), late.alias("late")).where("early = 1 OR late"), "meeting")
     meets = keyed.groupBy("a", "s").agg(F.count("*").alias("members"), F.max("early").alias("early"), F.min("component").alias("x"), F.max("component").alias("y"))
     meets = meets.where("members > 1 AND early = 1 AND x <> y").select("a", "s", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
