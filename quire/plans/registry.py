@@ -449,7 +449,7 @@ def term_document_frequency_q(spark, sf_dir):
     return textsearch.term_document_frequency(textsearch.build_postings(textsearch.document_terms(d)))
 
 
-def _single_k(spark, sf_dir, indexes=("postings", "term_stats")):
+def _single_k(spark, sf_dir, indexes=("blocks",)):
     """Each fixture request as one key row: its title in its language."""
     c = fx.corpus(spark, sf_dir, with_indexes=False).materialize(indexes)
     req = fx.fx_requests(c.documents)
@@ -568,7 +568,7 @@ SELECT request_id, rank, stage, page_id, title, from_title, to_title FROM fx_ran
 """, ints=("stage",))
 def capped_hits_q(spark, sf_dir):
     from quire.operators import cascade
-    c, k = _single_k(spark, sf_dir, ("postings", "term_stats", "title_grams"))
+    c, k = _single_k(spark, sf_dir, ("blocks", "title_grams"))
     hits = cascade.partial_hits(k, c, 20)
     return hits.select("request_id", "rank", "stage", "page_id", "title", "from_title", "to_title")
 
@@ -783,6 +783,70 @@ def or_terms_match_q(spark, sf_dir):
     return _top(textsearch.title_matches(k, c, 20), ["page_id"]).select("request_id", "page_id")
 
 
+@query("phrase_terms_match", r"""
+, fx_pq AS (
+  SELECT page_id AS request_id, language_code, list_filter(regexp_extract_all(lower(text_body), '[\p{L}\p{N}]+'), lambda x: x <> '') AS tokens FROM fx_documents
+), fx_ph AS (
+  SELECT request_id, language_code, tokens[1] AS t1, tokens[2] AS t2, tokens[3] AS t3 FROM fx_pq WHERE len(tokens) >= 3
+), fx_at AS (
+  SELECT request_id AS page_id, language_code, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM fx_pq
+), fx_three AS (
+  SELECT a.page_id, a.language_code, a.t AS t1, lead(a.t) OVER w AS t2, lead(a.t, 2) OVER w AS t3 FROM fx_at a WINDOW w AS (PARTITION BY a.page_id, a.language_code ORDER BY a.i)
+), fx_hit AS (
+  SELECT DISTINCT p.request_id, h.page_id FROM fx_ph p JOIN fx_three h ON h.language_code = p.language_code AND h.t1 = p.t1 AND h.t2 = p.t2 AND h.t3 = p.t3
+)
+SELECT request_id, page_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY page_id) AS rn FROM fx_hit) WHERE rn <= 20
+""")
+def phrase_terms_match_q(spark, sf_dir):
+    """T3 with phrases: the first three words of every body, quoted, found in
+    bodies by the positions in the index; no text is read."""
+    from quire.operators import blocks
+    c, _ = _single_k(spark, sf_dir)
+    words = F.slice(blocks.token_sequence("text_body", F.lit(False)), 1, 3)
+    k = c.documents.select(F.col("page_id").alias("request_id"), "language_code", words.alias("w")).where(F.size("w") == 3)
+    k = k.select("request_id", "language_code", F.concat(F.lit('"'), F.array_join("w", " "), F.lit('"')).alias("variant"))
+    return blocks.block_matches(k, c.blocks, "body", n=20).select("request_id", "page_id")
+
+
+@query("incremental_index_search", _TERMS_SQL + r"""
+SELECT phase, request_id, page_id FROM fx_bm, (SELECT unnest(['replaced', 'merged']) AS phase)
+WHERE rn <= 20
+UNION ALL
+SELECT 'first load', request_id, page_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY page_id) AS r FROM fx_bm WHERE page_id % 3 <> 0) WHERE r <= 20
+""")
+def incremental_index_search_q(spark, sf_dir):
+    """A term index that grows by loads.  Two thirds of the documents are
+    indexed and searched; the others are added, a third of them with their
+    title for a body; these are then replaced by their real texts, and all is
+    searched; last, all parts are merged and searched.  Body hits of the three states."""
+    from quire.operators import textsearch
+    from quire.operators.corpus import Corpus
+    from quire.plans import segments
+    from quire.session import shared_dir
+    docs = fx.fx_documents(spark, sf_dir)
+    req = fx.fx_requests(docs)
+    k = req.select("request_id", F.col("title").alias("variant"), "language_code")
+    out = shared_dir(spark, "growing-index")
+    result = None
+
+    def state(phase):
+        index, dead = segments.open_index(spark, out)
+        c = Corpus(documents=docs, pages=None, redirections=None, blocks=index, dead=dead)
+        hits = textsearch.body_matches(k, c, 20).select(F.lit(phase).alias("phase"), "request_id", "page_id")
+        return hits if result is None else result.unionByName(hits)
+
+    segments.add_load(spark, out, docs.where("page_id % 3 <> 0"))
+    result = state("first load")
+    spoilt = F.col("page_id") % 9 == 0
+    segments.add_load(spark, out, docs.where("page_id % 3 = 0").withColumn("text_body", F.when(spoilt, F.col("title")).otherwise(F.col("text_body"))))
+    segments.add_load(spark, out, docs.where(spoilt), replace=True)
+    result = state("replaced")
+    segments.merge(spark, out, everything=True)
+    result = state("merged")
+    return result
+
+
 @query("random_article_seeded", r"""
 SELECT title, text_body FROM (
   SELECT * FROM fx_documents WHERE language_code IN ('en', 'fr')
