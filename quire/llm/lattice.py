@@ -19,9 +19,11 @@ changed at a time.  Vectors are only compared within a label.
 The share of pairs at the threshold itself that meet in a cell is above 0.9999
 (`tests/llm`), and links inside a component are all counted.
 
-Defined cases: a null label or id, a null, empty or zero vector, null or
+Defined cases: a null label, a null, empty or zero vector, null or
 non-finite components: linked with nothing, n_links 0, component_id the own
-id, kept true (null id: null and false).  Vectors of different lengths are not
+id, kept true.  A null id links like any other, names no component and is not
+kept (component_id null if no member has an id).  Repeated ids with other
+vectors or labels are vectors of their own.  Vectors of different lengths are not
 compared.  Labels that are no integers are compared by a 64-bit hash.  Repeated
 rows are vectors of their own.  Other columns are not read.
 """
@@ -245,10 +247,11 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
     rows = table.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
+    usable = F.coalesce(F.col("label").isNotNull() & fine, F.lit(False))
     valid = rows.where(usable)
-    classes = valid.groupBy("label", "embedding").agg(F.min("id").alias("class"), F.count("*").alias("weight"))
-    classes = materialize(classes, "classes")
+    # Classes have numbers of their own: an id may repeat with another vector or label, or be null.
+    classes = valid.groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     vectors = materialize(_pack(classes.select("class", "label", "weight", "embedding")), "vectors")
     shape = {"tables": tables, "blocks": blocks, "probes": probes, "cosine": cosine}
 
@@ -278,8 +281,10 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     members = materialize(members, "members")
     counts = _link_counts(members, cosine)
     known = members.select("class", "component", "weight").join(counts, "class", "left")
-    known = classes.select("label", "embedding", "class").join(known, "class").select("label", "embedding", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = valid.join(known, ["label", "embedding"]).select("id", "n_links", "component")
+    known = materialize(classes.select("label", "embedding", "class", "least").join(known, "class"), "known")
+    names = known.groupBy("component").agg(F.min("least").alias("name"))
+    known = known.join(names, "component").select("label", "embedding", "name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    linked = valid.join(known, ["label", "embedding"]).select("id", "n_links", F.col("name").alias("component"))
     rest = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     out = linked.union(rest)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

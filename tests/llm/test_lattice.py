@@ -81,7 +81,7 @@ def test_edges(spark):
     rows = [(1, v, 0), (2, v, 0), (3, v, 1), (4, v, None), (5, None, 0), (6, [], 0), (7, [0.0] * 8, 0), (8, [1.0] * 7 + [None], 0), (9, [1.0] * 7 + [float("nan")], 0),
             (10, [1.0] * 7 + [float("inf")], 0), (None, v, 0), (11, [2.0] * 8, 0), (12, [1.0] * 4, 0), (2, v, 0), (13, [-1.0] * 8, 0)]
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_vectors(table(spark, rows)).collect()), key=str)
-    linked = {1: (3, 1, True), 2: (3, 1, False), 11: (3, 1, False)}
+    linked = {1: (4, 1, True), 2: (4, 1, False), 11: (4, 1, False), None: (4, 1, False)}
     want = sorted([(i, *linked.get(i, (0, i, i is not None))) for i, _, _ in rows], key=str)
     assert got == want
     assert lattice.near_vectors(table(spark, [])).count() == 0
@@ -100,3 +100,22 @@ def test_labels_of_any_type(spark):
     rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None)]
     got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_repeated_and_null_ids(spark):
+    """Each row is a vector of its own, whatever its id."""
+    rng = np.random.default_rng(11)
+    base = [unit(rng, 16) for _ in range(6)]
+    rows = [(i % 25 if i % 5 else None, base[i % 6] if i % 4 == 0 else at_cosine(rng, base[i % 6], 0.96), i % 2 if i % 7 else None) for i in range(160)]
+    rows += [(900, base[0], 0), (900, -base[0], 0), (901, at_cosine(rng, base[0], 0.95), 0)]
+    plain = expected([(n, v, k) for n, (_, v, k) in enumerate(rows)])
+    ids = {}
+    for n, (_, top, _) in plain.items():
+        ids.setdefault(top, []).append(rows[n][0])
+    want = []
+    for n, (i, _, _) in enumerate(rows):
+        links, top, _ = plain[n]
+        name = min((x for x in ids[top] if x is not None), default=None)
+        want.append((i, links, name, i is not None and i == name))
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_vectors(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
