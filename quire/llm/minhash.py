@@ -179,9 +179,11 @@ def _against_hubs(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             d = pa.ListArray.from_arrays(at, pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(np.diff(yo).astype(np.int64)), pa.array(linked), pa.array(near), pa.array(far), d], ["a", "b", "n", "linked", "near", "far", "d"])
 
-    with_a = stars.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n long, linked boolean, near boolean, far boolean, d array<long>")
+    # Merge joins at every size: what is broadcast in a small table is shuffled in a large one, and costs are then hard to foretell.
+    with_b = stars.hint("merge").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+    hubs = sets.join(stars.select(F.col("a").alias("class")).distinct(), "class", "left_semi")
+    with_a = with_b.hint("merge").join(hubs.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
+    return with_a.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n long, linked boolean, near boolean, far boolean, d array<long>")
 
 
 def _meetings(families: DataFrame, percent: int, block: int) -> DataFrame:
@@ -303,7 +305,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands:
     buckets = rows.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(rows.join(buckets, "h"), "members")
     ids = members.groupBy("class").agg(F.sum("members").alias("central"))
-    sets = materialize(_sets_of(docs.select(F.col(ROW).alias("class"), "text").join(ids.select("class"), "class", "left_semi"), size), "sets")
+    sets = materialize(_sets_of(docs.select(F.col(ROW).alias("class"), "text").join(ids.select("class").hint("merge"), "class", "left_semi"), size), "sets")
 
     left = members.select("h", "class").join(ids, "class")
     links, near = [], []
