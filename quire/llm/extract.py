@@ -4,13 +4,17 @@ Every block of a page (``dom.read_page``) has a hidden label, content or not.
 Its own features give it a potential, and each pair of parent and child has one
 of four others.  Sum-product message passing over the tree, first upward from
 the leaves, then downward from the root, gives each block's exact marginal; all
-pages of a batch pass messages together, level by level.  Blocks with a marginal
-above one half are the main text.
+pages of a batch pass messages together, level by level.  A second upward pass
+with all blocks barred gives the probability that a page has no content at all;
+since pages with little beside an article are rarer among labelled pages than in
+the web, the odds of any content count ``LIKELY`` times.  Blocks whose marginal
+is then above one half are the main text.
 
 The potentials are the maximum-likelihood estimate on labelled pages: the
 gradient is the difference between labelled and expected features, expectations
 coming from the same messages.  By default the labelled pages are ``TRAINING``
-pages of ``labelled.page``; others can be given.
+pages of ``labelled.page``, whose content stands in one of several shapes
+(``labelled.SHAPES``); others can be given.
 
 Output text: references decoded, white space within a block as one space, blocks
 in page order joined by line feeds; nothing is cut.  Defined cases: null or
@@ -35,6 +39,8 @@ from quire.llm import labelled, words
 from quire.llm.dom import Page, read_page
 
 TRAINING = 1000
+#: So many times likelier than among the labelled pages is it that a page with so little else has an article.
+LIKELY = 20
 FEATURES = 1 << 12
 ROUNDS = 120
 #: Pages that pass messages together.
@@ -114,16 +120,30 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[..., None]).sum(-1))
 
 
+def _upward(f: Forest, m: Model, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores with all that lies below, and messages to the parents; nodes in ``barred`` cannot be content."""
+    score = np.zeros((len(f.parent), 2))
+    score[:, 1] = np.bincount(f.row, m.weights[f.column], len(f.parent))
+    if barred is not None:
+        score[barred, 1] = -700
+    up = np.zeros_like(score)  # message to the parent
+    for level in f.levels[:0:-1]:
+        up[level] = _log_sum(m.pair + score[level][:, None, :])
+        np.add.at(score, f.parent[level], up[level])
+    return score, up
+
+
+def nothing(f: Forest, m: Model, blocks: np.ndarray) -> np.ndarray:
+    """Probability of each tree, in root order, that none of its ``blocks`` is content."""
+    roots = np.flatnonzero(f.parent < 0)
+    return np.exp(_log_sum(_upward(f, m, blocks)[0][roots]) - _log_sum(_upward(f, m)[0][roots]))
+
+
 def marginals(f: Forest, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(nodes,) probability of content, and (nodes, 2, 2) of the labels of the
     parent and the node (zero for roots)."""
     n = len(f.parent)
-    score = np.zeros((n, 2))
-    score[:, 1] = np.bincount(f.row, m.weights[f.column], n)
-    up = np.zeros((n, 2))  # message to the parent
-    for level in f.levels[:0:-1]:
-        up[level] = _log_sum(m.pair + score[level][:, None, :])
-        np.add.at(score, f.parent[level], up[level])
+    score, up = _upward(f, m)
     joint = np.zeros((n, 2, 2))
     belief = score.copy()
     for level in f.levels[1:]:
@@ -171,11 +191,15 @@ def main_texts(pages: list[Page], m: Model) -> list[str]:
     """The text of the blocks that are more likely content than not."""
     if not pages:
         return []
-    p, _ = marginals(forest(pages), m)
-    out, base = [], 0
-    for page in pages:
-        out.append("\n".join(said for node, said in page.runs if p[base + node] > 0.5))
-        base += len(page.tag)
+    f = forest(pages)
+    p, _ = marginals(f, m)
+    base = np.cumsum([0, *(len(page.tag) for page in pages)])
+    none = nothing(f, m, np.array([b + node for b, page in zip(base, pages, strict=False) for node, _ in page.runs], np.int64))
+    # Odds of content in a page at all, given what it looks like, times LIKELY.
+    out = []
+    for b, page, empty in zip(base, pages, none, strict=False):
+        scale = LIKELY / (LIKELY * (1 - empty) + empty)
+        out.append("\n".join(said for node, said in page.runs if p[b + node] * scale > 0.5))
     return out
 
 

@@ -107,28 +107,76 @@ def _block(r: random.Random) -> str:
     return f"<div><p>{_prose(r)}</p></div>" if r.random() < 0.5 else f"<figure><img src=x><figcaption>{_sentence(r)}</figcaption></figure>"
 
 
-def page(seed: int) -> str:
-    """One labelled page."""
+#: Names of boxes within articles, and of grids (fixed values).
+BOXES = "note box lead intro chapter section example tip quote figure summary abstract part highlight"
+GRIDS = "container wrapper row grid col column columns col-8 col-9 col-md-8 col-lg-9 left center middle inner outer page layout"
+#: Where the content of a page stands.
+SHAPES = ("named", "body", "grid", "nameless", "breaks", "pre", "boxes", "table")
+
+
+def _box(r: random.Random) -> str:
+    inner = "".join(_block(r) for _ in range(r.randint(1, 3)))
+    return r.choice([f"<div{_named(r, BOXES)}>{inner}</div>", f"<section>{inner}</section>", f"<div>{inner}</div>", f"<section><h3>{_sentence(r, 1, 6)}</h3>{inner}</section>"])
+
+
+def _shaped(r: random.Random, shape: str, head: str, blocks: list[str], side: str) -> tuple[str, bool]:
+    """The marked content in one of SHAPES, and whether the body itself holds it."""
+    inside = head + "".join(blocks)
+    mark = ' data-main="1"'
+    if shape == "body":
+        return inside, True
+    if shape == "pre":
+        return f"<pre{mark}>" + "\n".join(_prose(r) for _ in range(r.randint(2, 12))) + "</pre>", r.random() < 0.7
+    if shape == "breaks":
+        said = r.choice(["<br><br>", "<br>", "<br/>\n<br/>"]).join(_prose(r) for _ in range(r.randint(2, 9)))
+        name = r.choice(["", _named(r, CONTENT), _named(r, CONTENT), _named(r, GRIDS)])
+        return f"<div{name}{mark}>{head}{said}</div>", False
+    if shape == "nameless":
+        deep = r.randint(1, 4)
+        return "<div>" * deep + f"<div{mark}>{inside}</div>" + "</div>" * deep, False
+    if shape == "boxes":
+        for _ in range(r.randint(1, 3)):
+            blocks.insert(r.randint(0, len(blocks)), _box(r))
+        return f"<div{r.choice([_named(r, CONTENT), _named(r, CONTENT), ''])}{mark}>{head}{''.join(blocks)}</div>", False
+    if shape == "table":
+        menu = "<br>".join(_item(r) for _ in range(r.randint(1, 6)))
+        cells = [f'<td data-main="0">{menu}</td>', f"<td{mark}>{inside}</td>"] + ([f'<td data-main="0">{side}</td>'] if r.random() < 0.3 else [])
+        return f"<table><tr>{''.join(cells)}</tr></table>", False
+    outer = [_named(r, GRIDS) for _ in range(r.randint(1, 3))]
+    column = f"<div{_named(r, GRIDS)}{mark}>{inside}</div>"
+    beside = f'<div{_named(r, GRIDS)} data-main="0">{side}</div>' if r.random() < 0.7 else ""
+    return "".join(f"<div{n}>" for n in outer) + r.choice([column + beside, beside + column]) + "</div>" * len(outer), False
+
+
+def page(seed: int, shapes: tuple[str, ...] = SHAPES) -> str:
+    """One labelled page: two in five have a named article, the others one of ``shapes``."""
     r = random.Random(seed)
+    shape = "named" if "named" in shapes and r.random() < 0.4 else r.choice(shapes)
     others = list(PARTS)
     some = lambda low, high, inside=False: [_other(r, r.choice(others), inside) for _ in range(r.randint(low, high))]
     title = _sentence(r, 1, 12)
     head = r.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<h2>{title}</h2>", f"<header><h1>{title}</h1></header>", ""])
-    blocks = [_block(r) for _ in range(r.choice([0, 1, 2, 4, 8, 14, r.choice([14, 60])]))] or ([] if head else [_block(r)])
-    for part in some(0, 2, True) if r.random() < 0.5 else []:
+    blocks = [_block(r) for _ in range(r.choice([0, 1, 2, 4, 8, 14, r.choice([14, 60])]))] or ([] if head and shape == "named" else [_block(r)])
+    for part in some(0, 2, True) if shape == "named" and r.random() < 0.5 else []:
         blocks.insert(r.randint(0, len(blocks)), part)
-    tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
-    name = _named(r, CONTENT) if tag in ("div", "section") or r.random() < 0.3 else ""
-    main = f'<{tag}{name} data-main="1">{head}{"".join(blocks)}</{tag}>'
-    if r.random() < 0.3:
-        main = f'<{r.choice(["main", "div"])}{r.choice(["", _named(r, CONTENT + " container wrapper")])}>{main}{"".join(some(0, 1))}</div>'
+    in_body = False
+    if shape == "named":
+        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
+        name = _named(r, CONTENT) if tag in ("div", "section") or r.random() < 0.3 else ""
+        main = f'<{tag}{name} data-main="1">{head}{"".join(blocks)}</{tag}>'
+        if r.random() < 0.3:
+            main = f'<{r.choice(["main", "div"])}{r.choice(["", _named(r, CONTENT + " container wrapper")])}>{main}{"".join(some(0, 1))}</div>'
+    else:
+        main, in_body = _shaped(r, shape, head, blocks, "".join(some(1, 2)))
     before, after = ("nav", "header", "advert"), ("footer",)
     start = [_other(r, {"nav": "menu"}.get(x, x), False) for x in before if r.random() < 0.6] + some(0, 1)
     rest = some(0, 3) + [_other(r, x, False) for x in after if r.random() < 0.8]
     r.shuffle(start)
+    if r.random() < (0.2 if shape == "named" else 0.5):
+        start, rest = [], []
     return (f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style></head>"
-            f'<body data-main="0">{r.choice(["<script>var t=1;</script>", "<!-- x -->", ""])}{"".join(start)}{main}{"".join(rest)}</body></html>')
+            f'<body data-main="{int(in_body)}">{r.choice(["<script>var t=1;</script>", "<!-- x -->", ""])}{"".join(start)}{main}{"".join(rest)}</body></html>')
 
 
-def pages(n: int, first: int = 0) -> list[str]:
-    return [page(first + i) for i in range(n)]
+def pages(n: int, first: int = 0, shapes: tuple[str, ...] = SHAPES) -> list[str]:
+    return [page(first + i, shapes) for i in range(n)]
