@@ -84,3 +84,6 @@ TITLE_BODY = {
     "mysql": r"(?:[^'\\]++|\\.|'')*+",
     "reference": r"[^']*(?:''[^']*)*",
 }
+
+# Statement after a table's last row in a dump.
+DUMP_END = "/*!40000 ALTER TABLE `{table}` ENABLE KEYS */"

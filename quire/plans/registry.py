@@ -866,24 +866,28 @@ def _documents_stream(spark, sf_dir):
     return file_stream(spark, sf_dir, schema, glob="documents.parquet")
 
 
-def _as_fx_documents(df):
+def _as_fx_documents(df, *carry):
     head = F.regexp_extract("text", fx.TITLE_PATTERN, 1)
     title = F.when(head == "", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).otherwise(head)
     return df.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("language_code"),
-                     title.alias("title"), F.col("text").alias("text_body"))
+                     title.alias("title"), F.col("text").alias("text_body"), *carry)
 
 
 @query("resume_load_stream", "SELECT page_id, language_code, title, text_body FROM fx_documents")
 def resume_load_stream_q(spark, sf_dir):
     """The documents file streamed into a language-partitioned table
     with first-wins batches, run twice on one checkpoint: the second run
-    resumes and adds nothing."""
+    resumes and adds nothing.  Every document comes twice, the second copy
+    renamed: the first one in source order wins."""
     from quire.session import shared_dir
     from quire.streaming.loads import load_stream
     target, ckpt = shared_dir(spark, "stream-docs"), shared_dir(spark, "stream-docs-ckpt")
+    source = _documents_stream(spark, sf_dir)
+    docs = _as_fx_documents(source, "_order").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(0))))
+    title = F.when(F.col("copy") == 1, F.concat(F.lit("Again "), "title")).otherwise(F.col("title"))
+    docs = docs.select("page_id", "language_code", title.alias("title"), "text_body", F.struct("_order", "copy").alias("_order"))
     for _ in range(2):
-        q = load_stream(spark, _as_fx_documents(_documents_stream(spark, sf_dir)), target, ckpt)
-        q.awaitTermination()
+        load_stream(spark, docs, target, ckpt).awaitTermination()
     return spark.read.parquet(target).select("page_id", "language_code", "title", "text_body")
 
 

@@ -10,7 +10,7 @@ load's own shuffle spreads the rows of a single file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
@@ -30,8 +30,8 @@ def insert_tuples(lines: DataFrame, table: str, escapes: str = "mysql", carry: t
     prefix = f"INSERT INTO `{table}` VALUES"
     body = fixed.TITLE_BODY[escapes]
     pat = rf"\((\d+),(\d+),'({body})'"
-    # bad UTF-8 bytes decode to U+FFFD; they are dropped
-    v = F.replace(F.col("value"), F.lit("\ufffd"), F.lit(""))
+    # bad UTF-8 bytes become U+FFFD; they are dropped
+    v = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
     line = F.col("_line") if "_line" in lines.columns else F.lit(None).cast("struct<file:string,line:bigint>")
     keep = lines.select(v.alias("value"), line.alias("_line"), *carry).filter(F.col("value").startswith(prefix))
     zipped = F.arrays_zip(*[F.regexp_extract_all("value", F.lit(pat), i).alias(f"g{i}") for i in (1, 2, 3)])
@@ -69,12 +69,22 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
                                           F.monotonically_increasing_id().alias("line")).alias("_line"))
 
 
-def read_page_dump(spark: SparkSession, path: str, language_code: str, escapes: str = "mysql") -> DataFrame:
-    return parse_page_lines(numbered_lines(spark, path), language_code, escapes)
+def watched(lines: DataFrame, table: str, seen: Observation | None) -> DataFrame:
+    """The lines, with ``seen`` told on the first pass over them whether the
+    statement that closes the table's part of a dump came (``whole``) -- a dump
+    cut off anywhere lacks it."""
+    if seen is None:
+        return lines
+    closing = F.col("value").startswith(fixed.DUMP_END.format(table=table))
+    return lines.observe(seen, F.coalesce(F.max(closing), F.lit(False)).alias("whole"), F.count(F.lit(1)).alias("lines"))
 
 
-def read_redirect_dump(spark: SparkSession, path: str, language_code: str, escapes: str = "mysql") -> DataFrame:
-    return parse_redirect_lines(numbered_lines(spark, path), language_code, escapes)
+def read_page_dump(spark: SparkSession, path: str, language_code: str, escapes: str = "mysql", seen: Observation | None = None) -> DataFrame:
+    return parse_page_lines(watched(numbered_lines(spark, path), "page", seen), language_code, escapes)
+
+
+def read_redirect_dump(spark: SparkSession, path: str, language_code: str, escapes: str = "mysql", seen: Observation | None = None) -> DataFrame:
+    return parse_redirect_lines(watched(numbered_lines(spark, path), "redirect", seen), language_code, escapes)
 
 
 def dump_lines(rows: DataFrame, table: str, id_col: str, ns_col: str | Column, title_col: str,

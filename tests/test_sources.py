@@ -105,3 +105,56 @@ def test_indexes_are_built_by_language_and_read_pruned(spark, tmp_path):
     plan = c.postings.filter((F.col("field") == "body") & (F.col("language_code") == "xx") & (F.col("term") == "of"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(field" in plan or "PartitionFilters: [isnotnull(language_code" in plan
     assert "EqualTo(term,of)" in plan
+
+
+def test_a_cut_off_source_is_never_flagged(spark, tmp_path):
+    """Dumps and article files cut off at any share stay targets; the whole
+    ones are flagged.  A dump counts as whole by its closing statement, even if
+    the metadata, which counts pages of all kinds, expects more rows."""
+    from pyspark.sql import Observation
+    from quire.plans.load import load_corpus, load_plan, read_manifest
+    from quire.sources.articles import read_articles
+    from quire.sources.metadata import read_language_metadata
+    shares = {"a": 60, "b": 90, "c": 99, "d": 100}
+    meta = tmp_path / "meta.csv"
+    meta.write_text("subset,pages,redirections\n" + "".join(f"{x},100,50\n" for x in shares))
+    sources, seen = {}, []
+    for x, share in shares.items():
+        inserts = [f"INSERT INTO `page` VALUES ({i},0,'T{i}',0);" for i in range(80)]
+        lines = (inserts + ["/*!40000 ALTER TABLE `page` ENABLE KEYS */;"])[:81 if share == 100 else 80 * share // 100]
+        seen.append(Observation())
+        sources["pages", x] = read_page_dump(spark, _write(tmp_path, f"{x}-page.sql.gz", lines), x, seen=seen[-1]), seen[-1]
+        inserts = [f"INSERT INTO `redirect` VALUES ({i},0,'T{i}','','');" for i in range(50)]
+        seen.append(Observation())
+        lines = inserts + ["/*!40000 ALTER TABLE `redirect` ENABLE KEYS */;"] if share == 100 else inserts[:50 * share // 100] + ["/*!40000 ALTER TABLE `page` ENABLE KEYS */;"]
+        sources["redirections", x] = read_redirect_dump(spark, _write(tmp_path, f"{x}-redirect.sql.gz", lines), x, seen=seen[-1]), seen[-1]
+        spark.range(share).selectExpr("id AS page_id", "'t' AS title", "'b' AS text").coalesce(1).write.parquet(str(tmp_path / x))
+        sources["documents", x] = read_articles(spark, str(tmp_path / x), x)
+    out = str(tmp_path / "out")
+    plan = load_plan(list(shares), read_language_metadata(spark, str(meta)), read_manifest(spark, out))
+    flags = {(r.language_code, r.dataset, r.n_rows, r.expected_rows) for r in load_corpus(spark, plan, sources, out).collect()}
+    assert flags == {("d", "pages", 80, 100), ("d", "redirections", 50, 50), ("d", "documents", 100, 100)}
+
+
+def test_a_source_is_read_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quire.plans.load import load_dataset
+    read = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    for dataset, key, value in (("pages", "page_id", "page_title"), ("documents", "page_id", "title"), ("redirections", "from_page_id", "to_title")):
+        src = spark.range(500).select(F.col("id").alias(key), F.lit("x").alias(value), F.lit("xx").alias("language_code"), F.col("id").alias("_order"))
+        before = read.value
+        assert load_dataset(spark, dataset, src.mapInPandas(tell, src.schema), str(tmp_path), "xx") == (500, 500)
+        assert read.value - before == 500
+
+
+def test_bad_bytes_are_dropped(spark, tmp_path):
+    p = tmp_path / "xx-page.sql.gz"
+    with gzip.open(p, "wb") as f:
+        f.write(b"INSERT INTO `page` VALUES (1,0,'Caf\xe9_Noir',0),(2,0,'\xff\xfeOdd',0);\n")
+    assert sorted((r.page_id, r.page_title) for r in read_page_dump(spark, str(p), "xx").collect()) == [(1, "Caf_Noir"), (2, "Odd")]
