@@ -153,6 +153,34 @@ def exact_redirect_resolution(spark, sf_dir):
     return out.select("request_id", "language_code", "redirect_page_id", "to_title", "page_id")
 
 
+def _bucketed(spark, sf_dir):
+    """Fixture titles as key rows, and the fixture corpus stored in buckets."""
+    from quire.plans import buckets
+    from quire.session import shared_dir
+    c = buckets.store_corpus(fx.corpus(spark, sf_dir, with_indexes=False), shared_dir(spark, "bucketed"))
+    req = fx.fx_requests(c.documents).select("request_id", "language_code", F.col("title").alias("variant"))
+    return c, req
+
+
+@query("bucketed_title_lookup")
+def bucketed_title_lookup_q(spark, sf_dir):
+    """J1 over documents stored in buckets of (language, title)."""
+    c, req = _bucketed(spark, sf_dir)
+    return lookup.exact_titles(req, c.documents).select("request_id", "language_code", "page_id")
+
+
+@query("bucketed_redirect_resolution")
+def bucketed_redirect_resolution_q(spark, sf_dir):
+    """J2-J4 over pages, redirects and documents in buckets of their keys."""
+    c, req = _bucketed(spark, sf_dir)
+    out = lookup.exact_redirects(req, c.documents, c.pages, c.redirections)
+    return out.select("request_id", "language_code", "redirect_page_id", "to_title", "page_id")
+
+
+ORACLE["bucketed_title_lookup"] = ORACLE["exact_title_lookup"]
+ORACLE["bucketed_redirect_resolution"] = ORACLE["exact_redirect_resolution"]
+
+
 @query("first_match_cascade", _K_ALL_LANGS_SQL + r"""
 , fx_s1 AS (
   SELECT k.request_id, k.variant_rank, k.lang_rank, k.variant, k.language_code, 1 AS stage,
