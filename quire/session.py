@@ -8,6 +8,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +60,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    own = _scope.get()
+    if own is not None:
+        own.append(path)
+        return path
     if not _handed_out:
         atexit.register(release_shared, spark)
     _handed_out.append(path)
@@ -64,13 +71,28 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 _handed_out: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
-def release_shared(spark: SparkSession) -> None:
-    """Delete the folders that ``shared_dir`` has handed out; call it when no
-    result that reads them is needed any more (it also runs at exit)."""
-    while _handed_out:
-        path = _handed_out.pop()
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders handed out inside are deleted at the end of the block: for work
+    whose results are stored elsewhere by then, such as a stream's batch."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        release_shared(spark, own)
+
+
+def release_shared(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete ``folders``, or all that ``shared_dir`` has handed out; call it when
+    no result that reads them is needed any more (it also runs at exit)."""
+    folders = _handed_out if folders is None else folders
+    while folders:
+        path = folders.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -66,6 +66,27 @@ def test_replayed_request_batch_replaces_itself(spark, tmp_path):
     assert got == [(1, "exact_title"), (2, "not_found")]
 
 
+def test_a_stream_leaves_only_its_answers(spark, tmp_path):
+    """What the batches wrote on the way is gone; the corpus's indexes stay."""
+    import os
+    from quire.operators.corpus import Corpus
+    from quire.session import shared_dir
+    from quire.streaming.requests import search_stream
+    docs = spark.createDataFrame([(1, "en", "One", "text one"), (2, "en", "Two", "text two")],
+                                 "page_id long, language_code string, title string, text_body string")
+    pages = spark.createDataFrame([], "page_id long, page_namespace int, page_title string, language_code string")
+    red = spark.createDataFrame([], "from_page_id long, to_title string, language_code string")
+    corpus = Corpus(documents=docs, pages=pages, redirections=red, languages=["en"]).materialize()
+    base = os.path.dirname(shared_dir(spark, "probe")).removeprefix("file:")
+    before = set(os.listdir(base))
+    spark.createDataFrame([(1, "One"), (2, "text")], "request_id long, title string").write.parquet(str(tmp_path / "in"))
+    reqs = spark.readStream.schema("request_id long, title string").parquet(str(tmp_path / "in"))
+    search_stream(spark, reqs, corpus, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert set(os.listdir(base)) == before
+    assert {r.request_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "exact_title", 2: "hits"}
+    assert corpus.blocks.count()
+
+
 def test_shared_folder_rules(spark, tmp_path, monkeypatch):
     import pytest
 
