@@ -153,6 +153,23 @@ def exact_redirect_resolution(spark, sf_dir):
     return out.select("request_id", "language_code", "redirect_page_id", "to_title", "page_id")
 
 
+@query("raw_title_lookup", r"""
+, fx_rk AS (
+  SELECT request_id, language_code, 0 AS spelling, title AS variant FROM fx_requests
+  UNION ALL SELECT request_id, language_code, 1, replace(title, ' ', '_') FROM fx_requests
+)
+SELECT r.request_id, r.spelling, min(d.page_id) AS page_id
+FROM fx_rk r JOIN fx_documents d ON d.title = r.variant AND d.language_code = r.language_code
+GROUP BY r.request_id, r.spelling
+""", ints=("spelling",))
+def raw_title_lookup_q(spark, sf_dir):
+    """Titles looked up as they are spelt; underscores are no spaces here."""
+    docs = fx.fx_documents(spark, sf_dir)
+    spellings = F.posexplode(F.array("title", F.replace("title", F.lit(" "), F.lit("_")))).alias("spelling", "variant")
+    req = fx.fx_requests(docs).select("request_id", "language_code", spellings)
+    return lookup.exact_titles(req, docs, raw_key=True).select("request_id", "spelling", "page_id")
+
+
 def _bucketed(spark, sf_dir):
     """Fixture titles as key rows, and the fixture corpus stored in buckets."""
     from quire.plans import buckets
