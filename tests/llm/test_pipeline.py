@@ -51,4 +51,4 @@ def test_empty_documents(spark, docs, tmp_path):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registry.ORACLE) <= set(registry.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registry.ORACLE) <= set(registry.QUERIES)
